@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dwell.llm import simhash
+from dwell.llm import lines, simhash, substrings, urls
 from dwell.llm.common import table
 
 
@@ -12,7 +13,28 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run=3)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_url_filters": op7_url_filters,
+}
+ORACLE_SQL = {
+    "op4_substring_dedup": substrings.SQL.format(window=20),
+    "op5_line_dedup": lines.SQL.format(run=3),
+    "op7_url_filters": urls.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
