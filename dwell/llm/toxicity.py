@@ -35,10 +35,10 @@ def normal(word: bytes) -> bytes:
     return word.lower().strip(_EDGES) or word
 
 
-def _features(word: bytes, bits: int) -> tuple[int, int, int]:
-    """Hashed identity, first and last three bytes of a normalised word."""
+def _features(word: bytes, bits: int) -> tuple[int, ...]:
+    """Hashed identity, beginnings and end of a normalised word."""
     cut = lambda tag, x: xxhash.xxh64_intdigest(tag + x) >> (64 - bits)
-    return cut(b"w", word), cut(b"p", word[:3]), cut(b"s", word[-3:])
+    return cut(b"w", word), cut(b"3", word[:3]), cut(b"5", word[:5]), cut(b"7", word[:7]), cut(b"s", word[-3:])
 
 
 def _chains(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     ``labels`` has doc_id and toxic; several labels of a document count as toxic if one is. The sample is
     drawn by a hash of doc_id; of near copies in it (SimHash within 12 bits) the first stays, so that a
     copied text doesn't make its words look toxic. Labelled tokens: in toxic documents, the words that
-    are far more usual in toxic documents than in others; all else is clean. The chain is trained on them
+    are far more usual in toxic documents than in others, and from the second epoch on those that the
+    chain itself tags; all else is clean. The chain is trained on them
     by stochastic gradients with per-weight steps, then document labels are regressed on its marginals.
     Null labels, ids and texts are left out. Without both classes there's no model.
     """
@@ -149,7 +150,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     names: dict[bytes, int] = {}
     token = np.array([names.setdefault(w, len(names)) for words in lists for w in words], np.int64)
     tag = np.array([t and w in marks for words, t in zip(lists, toxic.tolist()) for w in words], float)
-    feature = np.array([_features(w, bits) for w in names], np.int64).reshape(-1, 3)
+    open_ = np.repeat(toxic, [len(x) for x in lists]).astype(float)  # tokens that may turn out toxic
+    feature = np.array([_features(w, bits) for w in names], np.int64).reshape(len(names), 5)
     sizes = np.array([len(x) for x in lists])
     starts = np.cumsum(sizes) - sizes
     first, lengths = _chains(starts, sizes)
@@ -162,7 +164,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     def tables():
         return {k: v[feature].sum(1) for k, v in weights.items()}
 
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(first))
         for at in range(0, len(order), 512):
             pick = order[at : at + 512]
@@ -179,6 +181,8 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
             scores[:, :-1] += np.where(inside[:, 1:], local["after"][ids[:, 1:]], 0.0)
             p, expected = _marginals(np.where(inside, scores, 0.0), n, trans, pairs=True)
             gold = np.where(inside, tag[spot], 0.0)
+            if epoch:  # rare words of toxic documents that look like the labelled ones
+                gold = np.maximum(gold, np.where(inside & (p >= 0.5), open_[spot], 0.0))
             off = p - gold
             g = {
                 "own": np.bincount(ids.ravel(), off.ravel(), len(used)),
@@ -186,7 +190,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
                 "after": np.bincount(ids[:, 1:].ravel(), np.where(inside[:, 1:], off[:, :-1], 0.0).ravel(), len(used)),
             }
             for k, per_word in g.items():
-                grad = np.bincount(feature[used].ravel(), np.repeat(per_word, 3), 1 << bits)
+                grad = np.bincount(feature[used].ravel(), np.repeat(per_word, 5), 1 << bits)
                 on = np.flatnonzero(grad)
                 grad = grad[on] + 1e-3 * weights[k][on]
                 squares[k][on] += grad**2
