@@ -133,12 +133,14 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     Null labels, ids and texts are left out. Without both classes there's no model.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marked, "doc_id")
-    counts = {r["toxic"]: r["count"] for r in documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(marked, "doc_id").groupBy("toxic").count().collect()}
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = {r["toxic"]: r["count"] for r in texts.select("doc_id").join(marked, "doc_id").groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
     share = F.when(F.col("toxic") == 1, per_class / counts[1]).otherwise(per_class / counts[0])
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    # drawn before texts are read: about two times per_class labels at most, whatever the input
+    drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = texts.join(F.broadcast(drawn), "doc_id")
     rows = sorted((r["doc_id"], r["text"].encode(), r["toxic"]) for r in sample.collect())
     prints = np.array([int.from_bytes(fingerprint(t)) for _, t, _ in rows], np.uint64)
     first = [i for i in range(len(rows)) if not (np.bitwise_count(prints[:i] ^ prints[i]) <= 12).any()]
