@@ -50,8 +50,8 @@ def _chains(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, np.minimum(CHAIN, starts[text] + sizes[text] - first)
 
 
-def _marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False):
-    """P(tag 1) of each token of padded chains (chain, place), and expected tag pairs if asked for."""
+def _marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray):
+    """P(tag 1) of each token of padded chains (chain, place), and the expected tag pairs."""
     n, width = scores.shape
     inside = np.arange(width)[None] < lengths[:, None]
     psi = np.stack([np.ones_like(scores), np.exp(np.clip(scores, -30, 30))], 2)
@@ -69,8 +69,6 @@ def _marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs
     both = alpha * beta
     p = (both[..., 1] / both.sum(2)).T
     p = np.where(inside, p, 0.0)
-    if not pairs:
-        return p
     total = np.zeros((2, 2))
     for t in range(1, width):
         on = inside[:, t]
@@ -79,15 +77,27 @@ def _marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs
     return p, total
 
 
-def _emissions(features: np.ndarray, first: np.ndarray, lengths: np.ndarray, own, before, after, bias) -> np.ndarray:
-    """Scores of tag 1 of padded chains; neighbours count within a chain only."""
-    width = int(lengths.max())
-    at = np.minimum(first[:, None] + np.arange(width)[None], len(features) - 1)
-    inside = np.arange(width)[None] < lengths[:, None]
-    scores = bias + own[features][at]
-    scores[:, 1:] += before[features][at][:, :-1]
-    scores[:, :-1] += np.where(inside[:, 1:], after[features][at][:, 1:], 0.0)
-    return np.where(inside, scores, 0.0)
+def _chances(first: np.ndarray, lengths: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray, bias: float, trans: np.ndarray) -> np.ndarray:
+    """P(tag 1) of each place of chains over tokens with these weights; the two tags' ratio is carried along."""
+    width, last = int(lengths.max()), len(own) - 1
+    at = np.minimum(first[None] + np.arange(width)[:, None], last)
+    inside = np.arange(width)[:, None] < lengths[None]
+    scores = bias + own[at]
+    scores[1:] += before[at[:-1]]
+    scores[:-1] += np.where(inside[1:], after[at[1:]], 0.0)
+    odds = np.exp(np.clip(scores, -30, 30))
+    (a, b), (c, d) = np.exp(trans)
+    forth = np.empty_like(odds)
+    forth[0] = odds[0]
+    for t in range(1, width):
+        r = forth[t - 1]
+        np.multiply(odds[t], (b + r * d) / (a + r * c), out=forth[t])
+    back = np.ones(odds.shape[1])
+    for t in range(width - 2, -1, -1):
+        x = odds[t + 1] * back
+        back = np.where(inside[t + 1], (c + d * x) / (a + b * x), 1.0)
+        forth[t] *= back
+    return np.where(inside, forth / (1 + forth), 0.0).T
 
 
 def _fit_reading(expected: np.ndarray, largest: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
@@ -163,9 +173,6 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     rng = np.random.default_rng(seed)
     rate = 0.3
 
-    def tables():
-        return {k: v[feature].sum(1) for k, v in weights.items()}
-
     for epoch in range(epochs):
         order = rng.permutation(len(first))
         for at in range(0, len(order), 512):
@@ -181,7 +188,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
             scores = bias + local["own"][ids]
             scores[:, 1:] += local["before"][ids[:, :-1]]
             scores[:, :-1] += np.where(inside[:, 1:], local["after"][ids[:, 1:]], 0.0)
-            p, expected = _marginals(np.where(inside, scores, 0.0), n, trans, pairs=True)
+            p, expected = _marginals(np.where(inside, scores, 0.0), n, trans)
             gold = np.where(inside, tag[spot], 0.0)
             if epoch:  # rare words of toxic documents that look like the labelled ones
                 gold = np.maximum(gold, np.where(inside & (p >= 0.5), open_[spot], 0.0))
@@ -204,12 +211,12 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
             real = np.bincount(2 * a + b, minlength=4).reshape(2, 2)
             trans2 += (expected - real) ** 2
             trans = trans - rate * (expected - real) / np.sqrt(trans2)
-    t = tables()
+    t = {k: v[feature].sum(1)[token] for k, v in weights.items()}
     sums, tops = np.zeros(len(rows)), np.zeros(len(rows))
     owner = np.repeat(np.arange(len(sizes)), -(-sizes // CHAIN))
     for at in range(0, len(first), CHAINS):
         f, n = first[at : at + CHAINS], lengths[at : at + CHAINS]
-        p = _marginals(_emissions(token, f, n, t["own"], t["before"], t["after"], bias), n, trans)
+        p = _chances(f, n, t["own"], t["before"], t["after"], bias, trans)
         np.add.at(sums, owner[at : at + CHAINS], p.sum(1))
         np.maximum.at(tops, owner[at : at + CHAINS], p.max(1))
     reading = _fit_reading(sums, tops, toxic.astype(float), counts[1] / (counts[0] + counts[1]))
@@ -247,12 +254,12 @@ class _Scorer:
         spans: list[list[tuple[int, float]]] = [[] for _ in texts]
         if not len(token):
             return sums, tops, spans
-        own, before, after = np.array(self.rows).T
+        own, before, after = (np.ascontiguousarray(w)[token] for w in np.array(self.rows).T)
         first, lengths = _chains(starts, sizes)
         owner = np.repeat(np.arange(len(sizes)), -(-sizes // CHAIN))
         for at in range(0, len(first), CHAINS):
             f, n, o = first[at : at + CHAINS], lengths[at : at + CHAINS], owner[at : at + CHAINS]
-            p = _marginals(_emissions(token, f, n, own, before, after, self.model.bias), n, self.model.trans)
+            p = _chances(f, n, own, before, after, self.model.bias, self.model.trans)
             np.add.at(sums, o, p.sum(1))
             np.maximum.at(tops, o, p.max(1))
             for c, k in zip(*np.nonzero(p >= 0.5)):
