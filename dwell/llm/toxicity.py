@@ -173,10 +173,11 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     rng = np.random.default_rng(seed)
     rate = 0.3
 
+    chunk = max(16, min(512, len(first) // 32))  # few labels still make enough steps
     for epoch in range(epochs):
         order = rng.permutation(len(first))
-        for at in range(0, len(order), 512):
-            pick = order[at : at + 512]
+        for at in range(0, len(order), chunk):
+            pick = order[at : at + chunk]
             f, n = first[pick], lengths[pick]
             width = int(n.max())
             spot = np.minimum(f[:, None] + np.arange(width)[None], len(token) - 1)
