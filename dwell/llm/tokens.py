@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, utf8
+from dwell.llm.common import batch, checkpointed, utf8
 
 #: Words of a worker's cache before its older half is let go, and the longest word that is kept.
 CACHE_WORDS, CACHE_LENGTH = 250_000, 64
@@ -67,7 +67,8 @@ def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> Da
     """(n_tokens, n_docs): how many documents encode to each length, ``extra`` ids added to each.
 
     Whole texts; null or empty text has no ids. Repeated rows count each; other columns are ignored; an
-    empty table gives no rows. Batches are pre-aggregated, so only lengths are shuffled.
+    empty table gives no rows. Batches are pre-aggregated, so only lengths are shuffled; the result,
+    a row for each length, is materialised, as its readers use it more than once.
     """
 
     def run(batches):
@@ -78,7 +79,7 @@ def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> Da
             yield batch(n_tokens=values, n_docs=n)
 
     sizes = documents.select("text").mapInArrow(run, "n_tokens long, n_docs long")
-    return sizes.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return checkpointed(sizes.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame, stride: int = 1024) -> DataFrame:
