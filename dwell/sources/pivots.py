@@ -52,9 +52,9 @@ def read_pivots(spark: SparkSession, path: str, wanted: dict[str, str] | None =
 
 def snapshot_date(fiscal_year: Column, name: Column) -> Column:
     """The last date that fiscal years are said to reach, else the date in the resource's name (an aggregate)."""
-    reach = F.to_date(F.regexp_extract(fiscal_year, r"to\s+(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1), "d MMMM yyyy")
+    reach = F.try_to_date(F.regexp_extract(fiscal_year, r"to\s+(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1), "d MMMM yyyy")
     reach = F.when(fiscal_year.rlike(r"to\s+\d{1,2}\s+[A-Za-z]+\s+\d{4}"), reach)
-    return F.coalesce(F.max(reach), F.max(F.to_date(F.regexp_extract(name, r"at\s+(\d{4}-\d{2}-\d{2})", 1))))
+    return F.coalesce(F.max(reach), F.max(F.try_to_date(F.regexp_extract(name, r"at\s+(\d{4}-\d{2}-\d{2})", 1))))
 
 
 def monthly_totals(cells: DataFrame, first: str = "2015-01", last: str | None = None) -> DataFrame:
