@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from dwell.llm.common import batch, checkpointed, utf8
 
-#: Words of a worker's cache before its older half is let go, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 64
+#: Words of each generation of a worker's cache, and the longest word that is kept.
+CACHE_WORDS, CACHE_LENGTH = 600_000, 64
+#: Marks that end a word as a piece of their own; an apostrophe could start a contraction.
+_MARKS = b".,;:!?%*#$&|)"
 
 
 class WordEncoder:
     """Ids of whole texts of a tokenizer that never joins over ASCII white space, word by word.
 
     Each word's ids are kept as little-endian unsigned 32-bit bytes, so a text is a join of cached
-    bytes. Two generations bound the cache.
+    bytes. Letters and the marks after them are pieces of their own in any case, so words are split
+    there and share their parts. Two generations bound the cache.
     """
 
     def __init__(self, path: str):
@@ -27,21 +30,54 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        if end := self.tokenizer.model.end_of_word_suffix:
+            self.word_end[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part. Parts of letters are one piece each, so as one text they end at its word ends."""
+        out: dict[bytes, bytes] = {}
+        texts = {p: p.decode() for p in parts}
+        letters = [p for p, t in texts.items() if t.lower().isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join([texts[p] for p in letters]), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) == len(letters):
+            raw = ids.tobytes()
+            out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(letters, [0, *ends.tolist()], ends.tolist()))
+        for p in parts:
+            if p not in out:
+                out[p] = np.array(self.tokenizer.encode(texts[p], add_special_tokens=False).ids, "<u4").tobytes()
+        return [out[p] for p in parts]
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found, unknown = {}, []
+        found: dict[bytes, bytes] = {}
+        cut: dict[bytes, tuple[bytes, bytes]] = {}
+        wanted: dict[bytes, None] = {}
+        new, old = self.new, self.old
         for w in words:
-            ids = self.old.get(w)
-            if ids is None:
-                unknown.append(w)
-            else:
+            ids = old.get(w)
+            if ids is not None:
                 found[w] = ids
-        for w, e in zip(unknown, self.tokenizer.encode_batch([w.decode() for w in unknown], add_special_tokens=False)):
-            found[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.new) + len(found) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
+                continue
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) or not w.islower():
+                if core.decode().lower().isalpha():
+                    core = core.lower()
+                    cut[w] = core, w[len(core) :]
+                    wanted.update((p, None) for p in cut[w] if p and p not in new)
+                    continue
+            wanted[w] = None
+        parts = [p for p in wanted if p not in old]
+        found.update((p, old[p]) for p in wanted if p in old)
+        if parts:
+            found.update(zip(parts, self._encode(parts)))
+        for w, (a, b) in cut.items():
+            found[w] = (found.get(a) or new[a]) + ((found.get(b) or new[b]) if b else b"")
+        if len(new) + len(found) > CACHE_WORDS:
+            self.old, self.new = new, {}
         self.new.update((w, i) for w, i in found.items() if len(w) <= CACHE_LENGTH)
         return found
 
@@ -53,8 +89,8 @@ class WordEncoder:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             missing = {w for w in words if w not in known}
-            found = {w: known[w] for w in words if w in known} | self._learn(missing)
-            return b"".join(map(found.__getitem__, words))
+            found = self._learn(missing)
+            return b"".join([known[w] if w in known and w not in found else found[w] for w in words])
 
 
 @lru_cache(2)
