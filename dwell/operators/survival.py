@@ -43,8 +43,12 @@ def km_curve(rows: DataFrame, by: list[str] | None = None, **names) -> DataFrame
 
 
 def crossings(curve: DataFrame, by: list[str] | None = None, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """First duration at which survival is down to 1 - share, null if it never is; columns p10, p50..."""
-    first = [F.min(F.when(F.col("survival") <= F.lit(1.0 - p), F.col("days"))).alias(f"p{round(100 * p)}") for p in shares]
+    """First duration at which survival is down to 1 - share, null if it never is; columns p10, p50...
+
+    Both are compared to twelve places, so that a curve that meets a threshold exactly crosses it there
+    whatever the order of its products.
+    """
+    first = [F.min(F.when(F.round("survival", 12) <= F.round(F.lit(1.0 - p), 12), F.col("days"))).alias(f"p{round(100 * p)}") for p in shares]
     return curve.groupBy(*(by or [])).agg(*first)
 
 

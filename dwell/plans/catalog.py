@@ -49,12 +49,12 @@ curve AS (SELECT {lead}days, s FROM steps WHERE e > 0 UNION ALL SELECT DISTINCT
 
 @query(f"WITH {v.CASES}, {_km_sql('cases')} SELECT days, round(s, 6) AS survival FROM curve")
 def km_curve_global(spark, folder):
-    return rounded(survival.km_curve(v.cases(spark, folder)), "survival")
+    return rounded(survival.km_curve(v.cases(spark, folder, people=False)), "survival")
 
 
-@query(f"WITH {v.CASES}, {_km_sql('cases')} SELECT min(days) FILTER (s <= 1 - 0.1::DOUBLE) AS p10, min(days) FILTER (s <= 1 - 0.5::DOUBLE) AS p50, min(days) FILTER (s <= 1 - 0.9::DOUBLE) AS p90 FROM curve")
+@query(f"WITH {v.CASES}, {_km_sql('cases')} SELECT min(days) FILTER (round(s, 12) <= round(1 - 0.1::DOUBLE, 12)) AS p10, min(days) FILTER (round(s, 12) <= round(1 - 0.5::DOUBLE, 12)) AS p50, min(days) FILTER (round(s, 12) <= round(1 - 0.9::DOUBLE, 12)) AS p90 FROM curve")
 def km_quantiles_global(spark, folder):
-    return survival.crossings(survival.km_curve(v.cases(spark, folder)))
+    return survival.crossings(survival.km_curve(v.cases(spark, folder, people=False)))
 
 
 _WEIGHT = f"(pow(0.5::DOUBLE, greatest(0, DATE '{v.SNAPSHOT}' - as_of) / 540.0::DOUBLE) * greatest(0.1::DOUBLE, quality / 100.0::DOUBLE) * CASE tier WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.9 WHEN 'B-C' THEN 0.8 WHEN 'C' THEN 0.7 WHEN 'D' THEN 0.45 ELSE 0.5 END)"
@@ -80,7 +80,7 @@ q AS (SELECT 'region|segment|priority' AS fields, concat_ws('|', region, segment
 big AS (SELECT fields, key FROM q GROUP BY ALL HAVING (count(*) >= 40 AND sum(event) >= 15) OR fields = ''),
 p AS (SELECT q.fields || '#' || q.key AS k, days, event FROM q JOIN big ON q.fields = big.fields AND q.key = big.key),
 {_km_sql('p', by='k')},
-m AS (SELECT k, min(days) FILTER (s <= 1 - 0.1::DOUBLE) AS p10, min(days) FILTER (s <= 1 - 0.5::DOUBLE) AS p50, min(days) FILTER (s <= 1 - 0.9::DOUBLE) AS p90 FROM curve GROUP BY 1)
+m AS (SELECT k, min(days) FILTER (round(s, 12) <= round(1 - 0.1::DOUBLE, 12)) AS p10, min(days) FILTER (round(s, 12) <= round(1 - 0.5::DOUBLE, 12)) AS p50, min(days) FILTER (round(s, 12) <= round(1 - 0.9::DOUBLE, 12)) AS p90 FROM curve GROUP BY 1)
 SELECT CASE WHEN k LIKE 'region|segment|priority#%' THEN 0 WHEN k LIKE 'region|segment#%' THEN 1 ELSE 2 END::BIGINT AS level, substr(k, position('#' IN k) + 1) AS key, p10, p50, p90 FROM m""")
 def km_fallback_strata(spark, folder):
     c = v.cases(spark, folder)
@@ -100,7 +100,7 @@ def ess_by_segment(spark, folder):
 
 
 @query(f"""WITH {v.CASES}, u AS (SELECT segment || '' AS g, days, event, {_WEIGHT} AS w FROM cases UNION ALL SELECT '*', days, event, {_WEIGHT} FROM cases),
-{_km_sql('u', by='g', weight='w')}, m AS (SELECT g, min(days) FILTER (s <= 1 - 0.5::DOUBLE) AS med FROM curve GROUP BY 1),
+{_km_sql('u', by='g', weight='w')}, m AS (SELECT g, min(days) FILTER (round(s, 12) <= round(1 - 0.5::DOUBLE, 12)) AS med FROM curve GROUP BY 1),
 n AS (SELECT g, pow(sum(w), 2) / sum(w * w) AS n_eff FROM u GROUP BY 1),
 r AS (SELECT m.g, n_eff, CASE WHEN m.med <> 0 AND b.med > 0 THEN least(2, greatest(0.5, m.med / b.med)) ELSE 1 END AS ratio FROM m JOIN n ON m.g = n.g, (SELECT med FROM m WHERE g = '*') b WHERE m.g <> '*')
 SELECT g AS segment, round(ratio, 6) AS raw_ratio, round(n_eff / (n_eff + 80), 6) AS shrinkage, round(exp(ln(ratio) * n_eff / (n_eff + 80)), 6) AS multiplier FROM r""")
@@ -121,7 +121,7 @@ _COHORT = "segment = 'BUILDING' AND priority = '1-URGENT'"
 @query(f"""WITH {v.CASES}, k AS (SELECT row_number() OVER (ORDER BY lodged, case_id) - 1 AS idx, days, event FROM cases WHERE {_COHORT}),
 t AS (SELECT count(*) AS n FROM k), g AS (SELECT run, ('0x' || substr(sha256(run || '-' || idx), 1, 8))::BIGINT % n AS idx FROM k, t, range(40) z(run)),
 u AS (SELECT run, days, event FROM g JOIN k USING (idx)), {_km_sql('u', by='run')},
-m AS (SELECT run, min(days) FILTER (s <= 1 - 0.5::DOUBLE) AS p50 FROM curve GROUP BY 1), o AS (SELECT list(p50 ORDER BY p50) AS l FROM m WHERE p50 IS NOT NULL)
+m AS (SELECT run, min(days) FILTER (round(s, 12) <= round(1 - 0.5::DOUBLE, 12)) AS p50 FROM curve GROUP BY 1), o AS (SELECT list(p50 ORDER BY p50) AS l FROM m WHERE p50 IS NOT NULL)
 SELECT l[floor(0.025 * (len(l) - 1))::INT + 1] AS lower, l[floor(0.975 * (len(l) - 1))::INT + 1] AS upper FROM o""")
 def bootstrap_median_ci(spark, folder):
     cohort = v.cases(spark, folder).where(_COHORT)

@@ -44,7 +44,7 @@ def unknown_rates(spark, folder):
 
 @query(f"WITH {v.CASES} SELECT year(lodged)::BIGINT AS lodged_year, count(*)::BIGINT AS cases FROM cases GROUP BY 1")
 def lodgement_years(spark, folder):
-    return v.cases(spark, folder).groupBy(F.year("lodged").cast("long").alias("lodged_year")).agg(F.count("*").alias("cases"))
+    return v.cases(spark, folder, people=False).groupBy(F.year("lodged").cast("long").alias("lodged_year")).agg(F.count("*").alias("cases"))
 
 
 @query(f"WITH {v.CASES} SELECT case_id, dup, quality::BIGINT AS quality FROM cases WHERE quality >= 40 QUALIFY row_number() OVER (PARTITION BY dup ORDER BY quality DESC, case_id) = 1")
@@ -72,19 +72,19 @@ _SPLIT = f"""split AS (SELECT *, CASE WHEN lodged <= DATE '{v.CUTOFF}' THEN 'tra
   CASE WHEN lodged > DATE '{v.CUTOFF}' THEN event WHEN event = 1 AND decided <= DATE '{v.CUTOFF}' THEN 1 ELSE 0 END AS observed FROM cases WHERE lodged <= DATE '{v.TEST_END}')"""
 
 
-def _split(spark, folder):
-    return evaluate.time_split(v.cases(spark, folder), v.CUTOFF, v.TEST_END)
+def _split(spark, folder, people=True):
+    return evaluate.time_split(v.cases(spark, folder, people), v.CUTOFF, v.TEST_END)
 
 
 @query(f"WITH {v.CASES}, {_SPLIT} SELECT case_id, split, duration, observed::BIGINT AS observed FROM split")
 def time_split(spark, folder):
-    return longs(_split(spark, folder).select("case_id", "split", "duration", "observed"), "observed")
+    return longs(_split(spark, folder, False).select("case_id", "split", "duration", "observed"), "observed")
 
 
 @query(f"WITH {v.CASES}, {_SPLIT} SELECT CASE WHEN split = 'train' THEN split WHEN lodged <= DATE '{v.CALIBRATION_END}' THEN 'calibration' ELSE 'holdout' END AS part, count(*)::BIGINT AS cases, sum(observed)::BIGINT AS events FROM split GROUP BY 1")
 def split_counts(spark, folder):
     part = F.when(F.col("split") == "train", "train").when(F.col("lodged") <= F.lit(v.CALIBRATION_END).cast("date"), "calibration").otherwise("holdout")
-    return _split(spark, folder).groupBy(part.alias("part")).agg(F.count("*").alias("cases"), F.sum("observed").alias("events"))
+    return _split(spark, folder, False).groupBy(part.alias("part")).agg(F.count("*").alias("cases"), F.sum("observed").alias("events"))
 
 
 # --- flows -------------------------------------------------------------------------------------------
@@ -148,7 +148,7 @@ def unpivot_periods(spark, folder):
 # --- evaluation --------------------------------------------------------------------------------------
 
 _TRAIN_KM = f"train AS (SELECT * FROM split WHERE split = 'train'), test AS (SELECT * FROM split WHERE split = 'test'), {_km_sql('train', by='segment', days='duration', event='observed')}"
-_Q = "q AS (SELECT segment, min(days) FILTER (s <= 1 - 0.1::DOUBLE) AS p10, min(days) FILTER (s <= 1 - 0.5::DOUBLE) AS p50, min(days) FILTER (s <= 1 - 0.9::DOUBLE) AS p90 FROM curve GROUP BY 1)"
+_Q = "q AS (SELECT segment, min(days) FILTER (round(s, 12) <= round(1 - 0.1::DOUBLE, 12)) AS p10, min(days) FILTER (round(s, 12) <= round(1 - 0.5::DOUBLE, 12)) AS p50, min(days) FILTER (round(s, 12) <= round(1 - 0.9::DOUBLE, 12)) AS p90 FROM curve GROUP BY 1)"
 _H = "h(horizon) AS (VALUES (90.0::DOUBLE), (180.0), (365.0)), sv AS (SELECT segment, horizon, coalesce(arg_max(s, days) FILTER (days <= horizon), 1.0) AS sv FROM curve, h GROUP BY 1, 2)"
 
 
@@ -197,12 +197,12 @@ def interval_coverage(spark, folder):
 
 
 @query(f"""WITH {v.CASES}, u AS (SELECT CASE WHEN event = 1 AND decided <= DATE '{v.CUTOFF}' THEN days ELSE DATE '{v.CUTOFF}' - lodged END AS days, (event = 1 AND decided <= DATE '{v.CUTOFF}')::INT AS event, CASE WHEN event = 1 AND decided > DATE '{v.CUTOFF}' THEN days END AS actual FROM cases WHERE lodged <= DATE '{v.CUTOFF}'),
-{_km_sql('u')}, q AS (SELECT min(days) FILTER (s <= 1 - 0.1::DOUBLE) AS p10, min(days) FILTER (s <= 1 - 0.5::DOUBLE) AS p50, min(days) FILTER (s <= 1 - 0.9::DOUBLE) AS p90 FROM curve)
+{_km_sql('u')}, q AS (SELECT min(days) FILTER (round(s, 12) <= round(1 - 0.1::DOUBLE, 12)) AS p10, min(days) FILTER (round(s, 12) <= round(1 - 0.5::DOUBLE, 12)) AS p50, min(days) FILTER (round(s, 12) <= round(1 - 0.9::DOUBLE, 12)) AS p90 FROM curve)
 SELECT p10, p50, p90, count(actual)::BIGINT AS test_events, round(avg((actual BETWEEN p10 AND p90)::INT) FILTER (actual IS NOT NULL), 6) AS coverage FROM u, q GROUP BY 1, 2, 3""")
 def retro_backtest(spark, folder):
     cut = F.lit(v.CUTOFF).cast("date")
     known = F.coalesce((F.col("event") == 1) & (F.col("decided") <= cut), F.lit(False))
-    rows = v.cases(spark, folder).where(F.col("lodged") <= cut)
+    rows = v.cases(spark, folder, people=False).where(F.col("lodged") <= cut)
     train = rows.select(F.when(known, F.col("days")).otherwise(F.datediff(cut, "lodged")).alias("days"), known.cast("int").alias("event"))
     q = survival.crossings(survival.km_curve(train))
     late = rows.where((F.col("event") == 1) & (F.col("decided") > cut)).select("days").join(F.broadcast(q))  # one row
@@ -285,7 +285,7 @@ _GONE = f"(1 - exp(-pow(el / {_SCALE}, {_SHAPE})))"
 
 
 def _open(spark, folder):
-    c = v.cases(spark, folder).where("event = 0").withColumn("el", F.col("days").cast("double"))
+    c = v.cases(spark, folder, people=False).where("event = 0").withColumn("el", F.col("days").cast("double"))
     return c, models.conditional_weibull(F.lit(200.0) + F.col("price") / 1000.0, F.lit(1.198), F.col("el"))
 
 

@@ -14,18 +14,24 @@ QUALITY = "100 - CASE WHEN o_totalprice < 50000 THEN 45 ELSE 0 END - CASE WHEN o
 TIER = "CASE r_name WHEN 'AFRICA' THEN 'A' WHEN 'AMERICA' THEN 'B' WHEN 'ASIA' THEN 'B-C' WHEN 'EUROPE' THEN 'C' ELSE 'D' END"
 
 
-def cases(spark: SparkSession, folder: str) -> DataFrame:
-    """One case for each order: lodged at the order date, decided at the first shipping date from then on."""
+def cases(spark: SparkSession, folder: str, people: bool = True) -> DataFrame:
+    """One case for each order: lodged at the order date, decided at the first shipping date from then on.
+
+    Without ``people`` only dates and durations, and the customers aren't read.
+    """
     t = lambda n: read_table(spark, folder, n)
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("lodged"))
     shipped = t("lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("shipped"))
     decided = shipped.join(orders.select("o_orderkey", "lodged"), F.col("l_orderkey") == F.col("o_orderkey")).where("shipped >= lodged").groupBy("o_orderkey").agg(F.min("shipped").alias("decided"))
+    until = F.coalesce("decided", F.lit(SNAPSHOT).cast("date"))
+    dates = ["lodged", "decided", until.alias("as_of"), F.col("decided").isNotNull().cast("int").alias("event"), F.datediff(until, "lodged").alias("days")]
+    if not people:
+        return orders.join(decided, "o_orderkey", "left").select(F.col("o_orderkey").alias("case_id"), *dates, F.col("o_totalprice").alias("price"))
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     people = t("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
     whole = orders.join(decided, "o_orderkey", "left").join(people, F.col("o_custkey") == F.col("c_custkey"))
-    until = F.coalesce("decided", F.lit(SNAPSHOT).cast("date"))
     c = whole.select(
-        F.col("o_orderkey").alias("case_id"), "lodged", "decided", until.alias("as_of"), F.col("decided").isNotNull().cast("int").alias("event"), F.datediff(until, "lodged").alias("days"),
+        F.col("o_orderkey").alias("case_id"), *dates,
         F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"),
         F.expr(QUALITY).alias("quality"), F.expr(TIER).alias("tier"), F.col("o_totalprice").alias("price"),
     )
@@ -89,7 +95,7 @@ DIRTY_SQL = "dirty AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in DIRTY.item
 
 def monthly_flows(spark: SparkSession, folder: str, part: str = "true") -> DataFrame:
     """(activity_month, activity_type, count) of lodgements and decisions."""
-    c = cases(spark, folder).where(part)
+    c = cases(spark, folder, people=False).where(part)
     dated = c.select(F.explode(F.array(F.struct(F.lit("lodged").alias("activity_type"), F.col("lodged").alias("d")), F.struct(F.lit("granted").alias("activity_type"), F.col("decided").alias("d")))).alias("x"))
     return dated.where("x.d is not null").groupBy(F.date_format("x.d", "yyyy-MM").alias("activity_month"), F.col("x.activity_type").alias("activity_type")).agg(F.count("*").alias("count"))
 
