@@ -20,17 +20,14 @@ class Index:
     """BM25 inverted index of one shard."""
 
     def __init__(self, lists: list[list[bytes]]):
-        names: dict[bytes, int] = {}
-        self.terms, counts = [], []
-        for words in lists:
-            ids, n = np.unique(np.array([names.setdefault(w, len(names)) for w in words], np.int64), return_counts=True)
-            self.terms.append(ids)
-            counts.append(n)
-        sizes = np.array([len(x) for x in lists], float)
         self.n = len(lists)
-        doc = np.repeat(np.arange(self.n), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms) if self.n else np.empty(0, np.int64)
-        tf = np.concatenate(counts).astype(float) if self.n else np.empty(0)
+        per_doc = [np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_counts=True) for words in lists]
+        found = [len(h) for h, _ in per_doc]
+        names, term = np.unique(np.concatenate([h for h, _ in per_doc]), return_inverse=True) if self.n else (np.empty(0), np.empty(0, np.int64))
+        self.terms = np.split(term, np.cumsum(found)[:-1]) if self.n else []
+        sizes = np.array([len(x) for x in lists], float)
+        doc = np.repeat(np.arange(self.n), found)
+        tf = np.concatenate([c for _, c in per_doc]).astype(float) if self.n else np.empty(0)
         found = np.bincount(term, minlength=len(names))
         idf = np.log1p((self.n - found + 0.5) / (found + 0.5))
         length = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
@@ -39,14 +36,12 @@ class Index:
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.first = np.concatenate([[0], np.cumsum(found)])
 
-    def neighbours(self, seed: int, unused: np.ndarray):
-        """Unused documents that share a term with ``seed``, best first, ties by number."""
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The score of each unused document for the terms of ``seed``, 0 for the others."""
         terms = self.terms[seed]
         starts, sizes = self.first[terms], self.first[terms + 1] - self.first[terms]
         at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        scores = np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        return np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
 
 
 def order_by_neighbours(lists: list[list[bytes]], sizes: np.ndarray, window: int) -> list[int]:
@@ -73,9 +68,12 @@ def order_by_neighbours(lists: list[list[bytes]], sizes: np.ndarray, window: int
         else:
             seed = order[-1]
         end = -(-total // window) * window
-        for d in index.neighbours(seed, unused).tolist():
-            if total >= end:
+        scores = index.scores(seed, unused)
+        while total < end:
+            d = int(scores.argmax())  # the best neighbour that is left, the first of equal ones
+            if scores[d] <= 0:
                 break
+            scores[d] = 0.0
             order.append(d)
             unused[d] = False
             total += int(sizes[d])

@@ -53,44 +53,60 @@ class WordEncoder:
         return [out[p] for p in parts]
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
-        cut: dict[bytes, tuple[bytes, bytes]] = {}
-        wanted: dict[bytes, None] = {}
+        """The ids of words that the new generation lacks; it gets them, and the parts that are of use to others."""
         new, old = self.new, self.old
+        found: dict[bytes, bytes] = {}
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        unknown: set[bytes] = set()
         for w in words:
             ids = old.get(w)
             if ids is not None:
                 found[w] = ids
                 continue
             core = w.rstrip(_MARKS)
-            if len(core) < len(w) or not w.islower():
+            if core != w or not w.islower():
                 if core.decode().lower().isalpha():
+                    marks = w[len(core) :]
                     core = core.lower()
-                    cut[w] = core, w[len(core) :]
-                    wanted.update((p, None) for p in cut[w] if p and p not in new)
+                    cut.append((w, core, marks))
+                    for p in (core, marks):
+                        if p not in new and p not in words:
+                            if p in old:
+                                found[p] = old[p]
+                            else:
+                                unknown.add(p)
+                    if core == w:
+                        unknown.add(w)
+                        cut.pop()
                     continue
-            wanted[w] = None
-        parts = [p for p in wanted if p not in old]
-        found.update((p, old[p]) for p in wanted if p in old)
-        if parts:
-            found.update(zip(parts, self._encode(parts)))
-        for w, (a, b) in cut.items():
-            found[w] = (found.get(a) or new[a]) + ((found.get(b) or new[b]) if b else b"")
+            unknown.add(w)
+        unknown.discard(b"")
+        parts = list(unknown)
+        found.update(zip(parts, self._encode(parts) if parts else ()))
+        found[b""] = b""
+        for w, core, marks in cut:
+            # a part that is itself among the words may be cut in turn, but never into itself
+            for p in (core, marks):
+                if p not in found and p not in new:
+                    found[p] = self._encode([p])[0]
+            found[w] = (found.get(core) or new[core]) + (found.get(marks) or new.get(marks, b""))
         if len(new) + len(found) > CACHE_WORDS:
             self.old, self.new = new, {}
-        self.new.update((w, i) for w, i in found.items() if len(w) <= CACHE_LENGTH)
+        self.new.update(found if all(len(w) <= CACHE_LENGTH for w in found) else {w: i for w, i in found.items() if len(w) <= CACHE_LENGTH})
         return found
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of ``text`` (UTF-8) as little-endian unsigned 32-bit numbers."""
         words = (text or b"").split()
         known = self.new
-        try:
+        missing = set(words).difference(known)
+        if not missing:
             return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            missing = {w for w in words if w not in known}
-            found = self._learn(missing)
-            return b"".join([known[w] if w in known and w not in found else found[w] for w in words])
+        found = self._learn(missing)
+        try:
+            return b"".join(map(self.new.__getitem__, words))
+        except KeyError:  # a long word, or a new generation
+            return b"".join([found[w] if w in found else known[w] for w in words])
 
 
 @lru_cache(2)
