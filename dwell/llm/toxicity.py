@@ -28,7 +28,7 @@ class ToxicityModel:
     after: np.ndarray  # for the tag of the token before
     bias: float
     trans: np.ndarray  # (2, 2) log potentials from tag to tag
-    reading: np.ndarray  # intercept, weight of log(1 + expected toxic tokens), of the largest marginal
+    reading: np.ndarray  # weights of the columns of _signs
 
 
 def normal(word: bytes) -> bytes:
@@ -100,14 +100,18 @@ def _chances(first: np.ndarray, lengths: np.ndarray, own: np.ndarray, before: np
     return np.where(inside, forth / (1 + forth), 0.0).T
 
 
-def _fit_reading(expected: np.ndarray, largest: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
-    """Logistic regression of document labels on the marginals' sums, moved to the labels' real rate."""
-    x = np.stack([np.ones(len(toxic)), np.log1p(expected), largest], 1)
-    w = np.zeros(3)
+def _signs(expected: np.ndarray, largest: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What a document's score reads: expected toxic tokens, the largest marginal, and the length they are spread over."""
+    return np.stack([np.ones(len(expected)), np.log1p(expected), largest, np.log1p(tokens)], 1)
+
+
+def _fit_reading(x: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """Logistic regression of document labels on their signs, moved to the labels' real rate."""
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - toxic) + 0.05 * w * [0, 1, 1]
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.diag([1e-6, 1, 1])
+        grad = x.T @ (p - toxic) + 0.05 * w * [0, 1, 1, 1]
+        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.diag([1e-6, 1, 1, 1])
         w -= np.clip(np.linalg.solve(hess, grad), -5, 5)
     share = np.clip(toxic.mean(), 1e-4, 1 - 1e-4)
     rate = np.clip(rate, 1e-4, 1 - 1e-4)
@@ -220,7 +224,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
         p = _chances(f, n, t["own"], t["before"], t["after"], bias, trans)
         np.add.at(sums, owner[at : at + CHAINS], p.sum(1))
         np.maximum.at(tops, owner[at : at + CHAINS], p.max(1))
-    reading = _fit_reading(sums, tops, toxic.astype(float), counts[1] / (counts[0] + counts[1]))
+    reading = _fit_reading(_signs(sums, tops, sizes), toxic.astype(float), counts[1] / (counts[0] + counts[1]))
     kept = {k: v.astype(np.float32) for k, v in weights.items()}
     return ToxicityModel(bits, kept["own"], kept["before"], kept["after"], float(bias), trans, reading)
 
@@ -243,7 +247,7 @@ class _Scorer:
         return at
 
     def __call__(self, texts: list[bytes]):
-        """(expected toxic tokens, largest marginal, toxic tokens' numbers with marginals) of each text."""
+        """(score, toxic tokens' numbers with marginals) of each text."""
         if len(self.names) > CACHE_WORDS:
             self.clear()
         known, number = self.names.get, self._number
@@ -254,7 +258,7 @@ class _Scorer:
         sums, tops = np.zeros(len(texts)), np.zeros(len(texts))
         spans: list[list[tuple[int, float]]] = [[] for _ in texts]
         if not len(token):
-            return sums, tops, spans
+            return self._read(sums, tops, sizes), spans
         own, before, after = (np.ascontiguousarray(w)[token] for w in np.array(self.rows).T)
         first, lengths = _chains(starts, sizes)
         owner = np.repeat(np.arange(len(sizes)), -(-sizes // CHAIN))
@@ -265,7 +269,10 @@ class _Scorer:
             np.maximum.at(tops, o, p.max(1))
             for c, k in zip(*np.nonzero(p >= 0.5)):
                 spans[o[c]].append((int(f[c] + k - starts[o[c]]), float(p[c, k])))
-        return sums, tops, spans
+        return self._read(sums, tops, sizes), spans
+
+    def _read(self, sums: np.ndarray, tops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_signs(sums, tops, sizes) @ self.model.reading, -30, 30)))
 
 
 def _offsets(text: bytes, marked: list[tuple[int, float]]) -> list[dict]:
@@ -311,9 +318,7 @@ def score(documents: DataFrame, model: ToxicityModel | None, threshold: float =
             for i, t in enumerate(texts):
                 size += len(t)
                 if scorer and (size > 4 << 20 or i == len(texts) - 1):
-                    sums, tops, marked = scorer(texts[at : i + 1])
-                    z = model.reading[0] + model.reading[1] * np.log1p(sums) + model.reading[2] * tops
-                    chance[at : i + 1] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                    chance[at : i + 1], marked = scorer(texts[at : i + 1])
                     spans[at : i + 1] = [_offsets(x, m) for x, m in zip(texts[at : i + 1], marked)]
                     at, size = i + 1, 0
             yield batch(doc_id=b.column(0), score=chance, predicted=pa.array((chance >= threshold).astype(np.int32)), spans=pa.array(spans, _SPANS))
@@ -340,9 +345,7 @@ def drop_toxic(documents: DataFrame, model: ToxicityModel | None, threshold: flo
             for i, t in enumerate(texts):
                 size += len(t)
                 if size > 4 << 20 or i == len(texts) - 1:
-                    sums, tops, _ = scorer(texts[start : i + 1])
-                    z = model.reading[0] + model.reading[1] * np.log1p(sums) + model.reading[2] * tops
-                    keep[start : i + 1] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold
+                    keep[start : i + 1] = scorer(texts[start : i + 1])[0] < threshold
                     start, size = i + 1, 0
             yield b.filter(pa.array(keep))
 
