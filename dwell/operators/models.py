@@ -61,7 +61,7 @@ def fit_weibull(rows: DataFrame, size: int, steps: int = 40, ridge: float = 0.01
     theta = np.zeros(size + 2)
     theta[0] = math.log(max(start["m"] or start["all"] or 1.0, 1.0))
     penalty = np.array([0.0, *[ridge] * size, shape_ridge])
-    rows = rows.select("x", "duration", "observed")
+    rows = rows.select("x", "duration", "observed").persist()  # read once for all steps
 
     def sums(theta: np.ndarray):
         def run(batches):
@@ -104,6 +104,7 @@ def fit_weibull(rows: DataFrame, size: int, steps: int = 40, ridge: float = 0.01
                 break
             scale /= 2
         theta, (value, g, h) = new, found
+    rows.unpersist()
     return theta
 
 
@@ -124,7 +125,7 @@ def conditional_weibull(scale: F.Column, shape: F.Column, elapsed: F.Column, ahe
 
 def fit_cox(rows: DataFrame, size: int, steps: int = 30, ridge: float = 0.02) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """(coefficients, baseline hazard) of the penalised mean partial likelihood with Breslow ties, by Newton steps."""
-    rows = rows.select("x", "duration", "observed")
+    rows = rows.select("x", "duration", "observed").persist()  # read once for all steps
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
 
     def sums(beta: np.ndarray) -> pd.DataFrame:
@@ -162,6 +163,7 @@ def fit_cox(rows: DataFrame, size: int, steps: int = 30, ridge: float = 0.02) ->
             break
         beta = beta - np.linalg.solve(h, g)
     table = sums(beta)
+    rows.unpersist()
     s = np.stack(table["s"].to_numpy())
     step = s[:, 1] / np.cumsum(s[:, 0])
     hazard, total = [], 0.0
