@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwell.llm.common import batch, utf8
-from dwell.llm.tokens import encoder
+from dwell.llm.tokens import WordEncoder
 
 #: Bytes of text in a shard of the index.
 SHARD_BYTES = 8 << 20
@@ -23,18 +23,22 @@ class Index:
         self.n = len(lists)
         per_doc = [np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_counts=True) for words in lists]
         found = [len(h) for h, _ in per_doc]
-        names, term = np.unique(np.concatenate([h for h, _ in per_doc]), return_inverse=True) if self.n else (np.empty(0), np.empty(0, np.int64))
+        keys = np.concatenate([h for h, _ in per_doc]) if self.n else np.empty(0, np.int64)
+        order = np.argsort(keys)  # postings by term; term numbers follow the same order
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        by_order = np.cumsum(new) - 1
+        term = np.empty(len(keys), np.int64)
+        term[order] = by_order
         self.terms = np.split(term, np.cumsum(found)[:-1]) if self.n else []
         sizes = np.array([len(x) for x in lists], float)
-        doc = np.repeat(np.arange(self.n), found)
-        tf = np.concatenate([c for _, c in per_doc]).astype(float) if self.n else np.empty(0)
-        found = np.bincount(term, minlength=len(names))
-        idf = np.log1p((self.n - found + 0.5) / (found + 0.5))
         length = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
-        weight = idf[term] * tf * (K1 + 1) / (tf + length[doc])
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
-        self.first = np.concatenate([[0], np.cumsum(found)])
+        self.doc = np.repeat(np.arange(self.n), found)[order]
+        tf = (np.concatenate([c for _, c in per_doc]).astype(float) if self.n else np.empty(0))[order]
+        holders = np.bincount(by_order, minlength=int(new.sum()))
+        idf = np.log1p((self.n - holders + 0.5) / (holders + 0.5))
+        self.weight = (idf[by_order] * tf * (K1 + 1) / (tf + length[self.doc])).astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum(holders)])
 
     def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The score of each unused document for the terms of ``seed``, 0 for the others."""
@@ -111,11 +115,11 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def pieces(ids, texts, name: int):
-        encode = encoder(tokenizer).encode
-        coded = [encode(t) + end for t in texts]
+    def pieces(encode, ids, texts, name: int):
+        lists = [t.split() for t in texts]
+        coded = [encode(words) + end for words in lists]
         sizes = np.array([len(c) // 4 for c in coded], np.int64)
-        order = np.array(order_by_neighbours([t.split() for t in texts], sizes, window), np.int64)
+        order = np.array(order_by_neighbours(lists, sizes, window), np.int64)
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
         total = int(ends[-1])
@@ -137,6 +141,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
     def run(batches):
         # a shard's sequences are numbered after those of the shards before it in the task
         task, used = TaskContext.get().partitionId() << 40, 0
+        encode = WordEncoder(tokenizer).encode_words
         ids, texts, size = [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
@@ -144,12 +149,12 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
                 texts.append(t := t or b"")
                 size += len(t)
                 if size >= shard_bytes:
-                    out = pieces(ids, texts, task + used)
+                    out = pieces(encode, ids, texts, task + used)
                     used = out.column(5)[-1].as_py() - task + 1
                     yield out
                     ids, texts, size = [], [], 0
         if ids:
-            yield pieces(ids, texts, task + used)
+            yield pieces(encode, ids, texts, task + used)
 
     kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)

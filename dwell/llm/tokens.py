@@ -11,29 +11,36 @@ from pyspark.sql import functions as F
 
 from dwell.llm.common import batch, checkpointed, utf8
 
-#: Words of each generation of a worker's cache, and the longest word that is kept.
+#: Words of each generation of a task's cache, and the longest word that is kept.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 64
 #: Marks that end a word as a piece of their own; an apostrophe could start a contraction.
 _MARKS = b".,;:!?%*#$&|)"
 
 
+@lru_cache(2)
+def _load(path: str):
+    """One tokenizer for each file and worker, and whether each id ends a word."""
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+    if end := tokenizer.model.end_of_word_suffix:
+        word_end[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+    return tokenizer, word_end
+
+
 class WordEncoder:
     """Ids of whole texts of a tokenizer that never joins over ASCII white space, word by word.
 
     Each word's ids are kept as little-endian unsigned 32-bit bytes, so a text is a join of cached
     bytes. Letters and the marks after them are pieces of their own in any case, so words are split
-    there and share their parts. Two generations bound the cache.
+    there and share their parts. Two generations bound the cache, which lives as long as its task.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        if end := self.tokenizer.model.end_of_word_suffix:
-            self.word_end[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+        self.tokenizer, self.word_end = _load(path)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -97,7 +104,10 @@ class WordEncoder:
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of ``text`` (UTF-8) as little-endian unsigned 32-bit numbers."""
-        words = (text or b"").split()
+        return self.encode_words((text or b"").split())
+
+    def encode_words(self, words: list[bytes]) -> bytes:
+        """The same for the words of a text between ASCII white space."""
         known = self.new
         missing = set(words).difference(known)
         if not missing:
@@ -109,12 +119,6 @@ class WordEncoder:
             return b"".join([found[w] if w in found else known[w] for w in words])
 
 
-@lru_cache(2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and worker."""
-    return WordEncoder(path)
-
-
 def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> DataFrame:
     """(n_tokens, n_docs): how many documents encode to each length, ``extra`` ids added to each.
 
@@ -124,8 +128,8 @@ def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> Da
     """
 
     def run(batches):
+        encode = WordEncoder(tokenizer).encode
         for b in batches:
-            encode = encoder(tokenizer).encode
             sizes = np.fromiter((len(encode(t)) // 4 + extra for t in utf8(b.column(0))), np.int64, b.num_rows)
             values, n = np.unique(sizes, return_counts=True)
             yield batch(n_tokens=values, n_docs=n)

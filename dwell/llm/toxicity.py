@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from dwell.llm.common import batch, utf8
 from dwell.llm.simhash import fingerprint
 
 #: Words of a chain, chains worked on at a time, words of a worker's cache.
-CHAIN, CHAINS, CACHE_WORDS = 64, 2048, 300_000
+CHAIN, CHAINS, CACHE_WORDS = 64, 2048, 200_000
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -238,12 +239,12 @@ class _Scorer:
 
     def clear(self):
         self.names: dict[bytes, int] = {}
-        self.rows: list[tuple[float, float, float]] = []
+        self.rows = array("d")  # three weights of each word
 
     def _number(self, word: bytes) -> int:
-        at = self.names[word] = len(self.rows)
+        at = self.names[word] = len(self.rows) // 3
         f = list(_features(normal(word), self.model.bits))
-        self.rows.append((float(self.model.own[f].sum()), float(self.model.before[f].sum()), float(self.model.after[f].sum())))
+        self.rows.extend((self.model.own[f].sum(), self.model.before[f].sum(), self.model.after[f].sum()))
         return at
 
     def __call__(self, texts: list[bytes]):
@@ -259,7 +260,7 @@ class _Scorer:
         spans: list[list[tuple[int, float]]] = [[] for _ in texts]
         if not len(token):
             return self._read(sums, tops, sizes), spans
-        own, before, after = (np.ascontiguousarray(w)[token] for w in np.array(self.rows).T)
+        own, before, after = (np.ascontiguousarray(w)[token] for w in np.array(self.rows).reshape(-1, 3).T)
         first, lengths = _chains(starts, sizes)
         owner = np.repeat(np.arange(len(sizes)), -(-sizes // CHAIN))
         for at in range(0, len(first), CHAINS):
