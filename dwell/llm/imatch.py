@@ -17,6 +17,9 @@ from dwell.llm.common import batch, pack_sorted, unpack_sorted, utf8
 #: Randomised subsets of the lexicon: SUBSETS for each share 1/8, 1/16 ... 1/1024 of its terms, so
 #: that short and long texts both have many subsets with one or two of their terms.
 SUBSETS, SHARES = 8, (3, 4, 5, 6, 7, 8, 9, 10)
+#: A subset is drawn from all terms of a text if fewer of them than this share are in the lexicon. The
+#: shares differ, so that two near copies fall on different sides of few.
+FEW = tuple(1 / 8 + (j * len(SHARES) + r) / (8 * SUBSETS * len(SHARES)) for r in range(len(SHARES)) for j in range(SUBSETS))
 _FLUSH, _CACHE = 400_000, 300_000
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&"
 _FIRST = -(1 << 63)
@@ -81,11 +84,11 @@ class Fingerprinter:
 
     def __init__(self, kept: np.ndarray):
         self.kept = frozenset(kept.tolist())
-        self.seen: dict[bytes, tuple[int, ...]] = {}
+        self.seen: dict[bytes, tuple[int, ...] | None] = {}  # None: not in the lexicon
 
     @lru_cache(1 << 18)
     def subsets(self, key: int) -> tuple[int, ...]:
-        """The subsets that hold a lexicon term, drawn by its hash."""
+        """The subsets that hold a term, drawn by its hash."""
         out = []
         for r, bits in enumerate(SHARES):
             draw = xxhash.xxh128_intdigest(key.to_bytes(8, "big"), seed=r)
@@ -97,21 +100,31 @@ class Fingerprinter:
     def __call__(self, text: bytes) -> tuple[int, ...]:
         """A 16-bit hash of each subset's terms of the text in order, 0 for none.
 
-        A text without any term in a subset gets the hash of all its terms in every subset, so that
-        such texts are alike only if their terms are.
+        A text with few terms in the lexicon, such as a copy in a group so large that its terms are over
+        the band, or one of rare words alone, has its subsets drawn from all its terms. A text without
+        any term in a subset even so gets the hash of all its terms in every subset.
         """
         seen = self.seen
         if len(seen) > _CACHE:
             seen.clear()
         parts: list[list[bytes]] = [[] for _ in range(SUBSETS * len(SHARES))]
         all_terms = sorted(terms(text))
+        known = 0
         for t in all_terms:
-            at = seen.get(t)
-            if at is None:
+            at = seen.get(t, ())
+            if at == () and t not in seen:
                 key = xxhash.xxh64_intdigest(t)
-                at = seen[t] = self.subsets(key) if key in self.kept else ()
-            for j in at:
-                parts[j].append(t)
+                at = seen[t] = self.subsets(key) if key in self.kept else None
+            if at is not None:
+                known += 1
+                for j in at:
+                    parts[j].append(t)
+        if known < FEW[-1] * len(all_terms):
+            whole_parts: list[list[bytes]] = [[] for _ in parts]
+            for t in all_terms:
+                for j in self.subsets(xxhash.xxh64_intdigest(t)):
+                    whole_parts[j].append(t)
+            parts = [w if known < few * len(all_terms) else p for p, w, few in zip(parts, whole_parts, FEW)]
         if not any(parts):
             whole = _short(all_terms)
             return (whole,) * len(parts)
