@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +19,148 @@ from dwell.llm.tokens import WordEncoder
 #: Bytes of text in a shard of the index.
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
+#: Places of the table of document frequencies; words that fall on one place count as one there.
+SLOTS = 1 << 22
+#: Documents that others are grouped around, and the width of the hashed vectors that compare them.
+LEADERS, WIDTH = 1024, 512
+_BUCKET, _FLUSH, _CACHE = 1 << 16, 400_000, 500_000
+
+
+class Codes(dict):
+    """64-bit hashes of words, kept for the words seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _CACHE:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        return code
+
+
+@dataclass
+class Statistics:
+    """Number of documents, their mean length in words, and document frequencies by place."""
+
+    n: int
+    mean: float
+    frequency: np.ndarray
+
+    def idf(self, codes: np.ndarray) -> np.ndarray:
+        held = np.maximum(1, self.frequency[codes & (SLOTS - 1)])
+        return np.log1p((self.n - held + 0.5) / (held + 0.5))
+
+
+def statistics(documents: DataFrame) -> Statistics:
+    """Counts over all documents; a table of bounded size reaches the driver, summed by range before."""
+
+    def count(batches):
+        table, seen, n, words = np.zeros(SLOTS, np.int64), Counter(), 0, 0
+
+        def flush():
+            at = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 & SLOTS - 1 for w in seen), np.int64, len(seen))
+            np.add.at(table, at, np.fromiter(seen.values(), np.int64, len(seen)))
+            seen.clear()
+
+        for b in batches:
+            for text in utf8(b.column(0)):
+                some = (text or b"").split()
+                n, words = n + 1, words + len(some)
+                seen.update(set(some))
+                if len(seen) > _FLUSH:
+                    flush()
+        flush()
+        if n:
+            yield batch(bucket=[-1], counts=[zstandard.compress(np.array([n, words], "<i8").tobytes())])
+            for k in range(SLOTS // _BUCKET):
+                yield batch(bucket=[k], counts=[zstandard.compress(table[k * _BUCKET : (k + 1) * _BUCKET].tobytes())])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = 0
+        for x in group.column("counts"):
+            total = total + np.frombuffer(zstandard.decompress(x.as_py()), "<i8")
+        return pa.table({"bucket": group.column("bucket").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
+
+    kinds = "bucket long, counts binary"
+    summed = documents.select("text").mapInArrow(count, kinds).groupBy("bucket").applyInArrow(add, kinds).collect()
+    parts = {r.bucket: np.frombuffer(zstandard.decompress(bytes(r.counts)), "<i8") for r in summed}
+    n, words = parts.pop(-1, (0, 0))
+    table = np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(SLOTS, np.int64)
+    return Statistics(int(n), words / max(1, n), np.minimum(table, (1 << 32) - 1).astype(np.uint32))
+
+
+def vectors(texts: list[bytes], codes: Codes, known: Statistics) -> np.ndarray:
+    """Unit vectors of the words' weights (log of occurrences times idf), hashed with signs to WIDTH places."""
+    out = np.zeros((len(texts), WIDTH), np.float32)
+    for row, text in zip(out, texts):
+        words = text.split()
+        if words:
+            code, times = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True)
+            weight = (1 + np.log(times)) * known.idf(code) ** 2 * np.where(code >> 60 & 1, 1.0, -1.0)
+            row += np.bincount(code >> 40 & WIDTH - 1, weight, WIDTH)
+            row /= max(1e-9, float(np.sqrt(row @ row)))
+    return out
+
+
+def content_keys(texts: list[bytes], marks: list[int], codes: Codes, known: Statistics, leaders: np.ndarray) -> np.ndarray:
+    """The nearest leader and the distance from it as one number; ``marks`` only spread equal texts."""
+    likeness = vectors(texts, codes, known) @ leaders.T
+    best = likeness.argmax(axis=1)
+    away = (1 - np.clip(likeness[np.arange(len(best)), best], -1, 1)) / 2.1
+    return best + away.astype(float) + (np.array(marks, np.int64) & 0xFFFF) * 1e-7
+
+
+def _keyed(documents: DataFrame, shard_bytes: int) -> tuple[DataFrame, Statistics]:
+    """(part, key, doc_id, text) with the part of each document: about ``shard_bytes`` of related texts."""
+    context = documents.sparkSession.sparkContext
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("mark"))
+    known = statistics(rows)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // shard_bytes))
+    shared = context.broadcast(known)
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 30))
+    share = lambda wanted: int((1 << 30) * min(1.0, wanted / max(1, known.n)))
+    most = min(LEADERS, 4 * parts)
+    heads = rows.where(drawn < share(1.5 * most)).select("text").limit(most)
+
+    def read(batches):
+        codes = Codes()
+        for b in batches:
+            yield batch(v=[v.tobytes() for v in vectors(utf8(b.column(0)), codes, shared.value)])
+
+    found = [np.frombuffer(bytes(r.v), np.float32) for r in heads.mapInArrow(read, "v binary").collect()] if parts > 1 else []
+    leaders = context.broadcast(np.array(found) if found else np.zeros((1, WIDTH), np.float32))
+
+    def keys(batches):
+        codes = Codes()
+        for b in batches:
+            texts = utf8(b.column(1))
+            key = np.concatenate([np.empty(0), *(content_keys(texts[k : k + 1024], b.column(2)[k : k + 1024].to_pylist(), codes, shared.value, leaders.value) for k in range(0, len(texts), 1024))])
+            yield batch(key=pa.array(key), doc_id=b.column(0), text=b.column(1))
+
+    kinds = "key double, doc_id long, text string"
+    edges = np.empty(0)
+    if parts > 1:
+        sample = rows.where(drawn < share(max(4096, 32 * parts))).mapInArrow(keys, kinds).select("key", F.octet_length("text").alias("size")).toArrow()
+        at, size = sample.column("key").to_numpy(), sample.column("size").to_numpy()
+        order = np.argsort(at)
+        if len(at):
+            so_far = np.cumsum(size[order])
+            edges = at[order][np.minimum(np.searchsorted(so_far, so_far[-1] * np.arange(1, parts) / parts), len(at) - 1)]
+    bounds = context.broadcast(edges)
+
+    def deal(batches):
+        for b in keys(batches):
+            yield batch(part=pa.array(np.searchsorted(bounds.value, b.column(0).to_numpy()).astype(np.int64)), key=b.column(0), doc_id=b.column(1), text=b.column(2))
+
+    return rows.mapInArrow(deal, f"part long, {kinds}"), known
 
 
 class Index:
-    """BM25 inverted index of one shard."""
+    """BM25 inverted index of one shard, weighted by ``known`` or else by the shard's own counts."""
 
-    def __init__(self, lists: list[list[bytes]]):
+    def __init__(self, lists: list[list[bytes]], known: Statistics | None = None, codes: Codes | None = None):
         self.n = len(lists)
-        per_doc = [np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_counts=True) for words in lists]
+        codes = Codes() if codes is None else codes
+        per_doc = [np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True) for words in lists]
         found = [len(h) for h, _ in per_doc]
         keys = np.concatenate([h for h, _ in per_doc]) if self.n else np.empty(0, np.int64)
         order = np.argsort(keys)  # postings by term; term numbers follow the same order
@@ -32,11 +171,12 @@ class Index:
         term[order] = by_order
         self.terms = np.split(term, np.cumsum(found)[:-1]) if self.n else []
         sizes = np.array([len(x) for x in lists], float)
-        length = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
+        mean = known.mean if known else sizes.mean() if self.n else 1.0
+        length = K1 * (1 - B + B * sizes / max(1.0, mean))
         self.doc = np.repeat(np.arange(self.n), found)[order]
         tf = (np.concatenate([c for _, c in per_doc]).astype(float) if self.n else np.empty(0))[order]
         holders = np.bincount(by_order, minlength=int(new.sum()))
-        idf = np.log1p((self.n - holders + 0.5) / (holders + 0.5))
+        idf = known.idf(keys[order][new]) if known else np.log1p((self.n - holders + 0.5) / (holders + 0.5))
         self.weight = (idf[by_order] * tf * (K1 + 1) / (tf + length[self.doc])).astype(np.float32)
         self.first = np.concatenate([[0], np.cumsum(holders)])
 
@@ -48,14 +188,14 @@ class Index:
         return np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
 
 
-def order_by_neighbours(lists: list[list[bytes]], sizes: np.ndarray, window: int) -> list[int]:
+def order_by_neighbours(lists: list[list[bytes]], sizes: np.ndarray, window: int, known: Statistics | None = None, codes: Codes | None = None) -> list[int]:
     """An order of documents in which each window is seeded by what it starts with and filled greedily.
 
     The seed of a window is the document that reaches into it, or else the first unused one; its unused
     neighbours follow, best first, and after them the unused documents in order. The document that
     crosses the window's end seeds the next one.
     """
-    index = Index(lists)
+    index = Index(lists, known, codes)
     unused = np.ones(len(lists), bool)
     order: list[int] = []
     total, next_free = 0, 0
@@ -106,20 +246,22 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all documents' ids.
 
     ids: the piece's ids as little-endian unsigned 32-bit numbers, of the whole text by the tokenizer
-    file, and ``end_id`` after them. Shards are runs of about ``shard_bytes`` of the input as it is read:
-    nothing is shuffled, a shard's memory is bounded, and a lost task is read and packed anew. All
-    sequences of a shard are full windows but its last ones, which are cut to powers of two.
+    file, and ``end_id`` after them. Document frequencies and mean length are counted over all documents.
+    Shards are about ``shard_bytes`` of texts that are nearest to the same leaders (documents drawn from all
+    the input), in order of their distance from them, whatever the layout of the input; seeds find their
+    neighbours there. A group too large for a shard is split along that distance, equal texts at random.
+    All sequences of a shard are full windows but its last ones, which are cut to powers of two.
 
     Null text: empty, one piece with the end id alone. Repeated rows are packed each, null doc_ids stay
     null; other columns are ignored; an empty table gives no rows.
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def pieces(encode, ids, texts, name: int):
+    def pieces(encode, codes, ids, texts, name: int):
         lists = [t.split() for t in texts]
         coded = [encode(words) + end for words in lists]
         sizes = np.array([len(c) // 4 for c in coded], np.int64)
-        order = np.array(order_by_neighbours(lists, sizes, window), np.int64)
+        order = np.array(order_by_neighbours(lists, sizes, window, shared.value, codes), np.int64)
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
         total = int(ends[-1])
@@ -141,23 +283,27 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
     def run(batches):
         # a shard's sequences are numbered after those of the shards before it in the task
         task, used = TaskContext.get().partitionId() << 40, 0
-        encode = WordEncoder(tokenizer).encode_words
-        ids, texts, size = [], [], 0
+        encode, codes = WordEncoder(tokenizer).encode_words, Codes()
+        ids, texts, size, shard = [], [], 0, None
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                ids.append(i)
-                texts.append(t := t or b"")
-                size += len(t)
-                if size >= shard_bytes:
-                    out = pieces(encode, ids, texts, task + used)
+            for part, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
+                if ids and (part != shard or size >= 2 * shard_bytes):
+                    out = pieces(encode, codes, ids, texts, task + used)
                     used = out.column(5)[-1].as_py() - task + 1
                     yield out
                     ids, texts, size = [], [], 0
+                shard = part
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
         if ids:
-            yield pieces(encode, ids, texts, task + used)
+            yield pieces(encode, codes, ids, texts, task + used)
 
+    dealt, known = _keyed(documents, shard_bytes)
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    ordered = dealt.repartition("part").sortWithinPartitions("part", "key", "doc_id", "text").select("part", "doc_id", "text")
     kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
+    return ordered.mapInArrow(run, kinds)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:
