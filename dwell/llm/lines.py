@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwell.llm.common import spark_words
+
 #: Stands for a null doc_id in the order of documents.
 _LAST = (1 << 63) - 1
 
 
-def drop_repeated_lines(documents: DataFrame, run: int = 3) -> DataFrame:
+def drop_repeated_lines(documents: DataFrame, run: int = 3, words: int | None = None) -> DataFrame:
     """``documents`` with the text of later repeats cut, and two more columns n_lines, n_removed.
 
     A line (text between line feeds, compared as it is) goes if a window of ``run`` lines of which one
     isn't blank covers it, and the same lines also start earlier: in a document of smaller doc_id, or
-    earlier in the same one. Windows are judged on the input.
+    earlier in the same one. Windows are judged on the input. With ``words``, a window of fewer than
+    ``run`` lines that holds at least that many words counts as well.
 
     Each window picks its smallest line hash (the last of equal ones) as fingerprint, so equal windows
     pick the same line; fingerprints at one position only rule their windows out. Windows around the
@@ -33,11 +36,36 @@ def drop_repeated_lines(documents: DataFrame, run: int = 3) -> DataFrame:
         F.coalesce(documents["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"),
         F.xxhash64(F.coalesce(documents["text"], F.lit(""))).alias("print"),
     )
-    hashed = whole.where("row.text <> ''").select("doc", "print", F.split("row.text", "\n", -1).alias("lines")).where(F.size("lines") >= run)
-    hashed = hashed.select("doc", "print", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "").alias("full"))
+    hashed = whole.where("row.text <> ''").select("doc", "print", F.split("row.text", "\n", -1).alias("lines"))
+    gone = _repeats(hashed, run)
+    if words is not None:
+        for size in range(1, run):
+            gone = gone.union(_repeats(hashed, size, words))
+        gone = gone.groupBy("doc", "print").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+    lines = F.split("row.text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    judged = whole.join(gone, ["doc", "print"], "left")
+    extra = [F.when(F.coalesce(F.col("row.text"), F.lit("")) == "", F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
+    kept = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_removed")]
+    return judged.select(*kept, *extra)
+
+
+def _repeats(texts: DataFrame, run: int, words: int | None = None) -> DataFrame:
+    """(doc, print, gone): the lines of each text that later repeats of windows of ``run`` lines cover.
+
+    A window counts if it holds ``words`` words, or without ``words`` if a line of it isn't blank.
+    """
+    hashed = texts.where(F.size("lines") >= run)
+    if words is None:
+        full = F.transform("lines", lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
+    else:
+        full = F.transform("lines", lambda x: F.size(spark_words(x)))
+    hashed = hashed.select("doc", "print", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), full.alias("full"))
 
     def window(s):
-        part = F.slice("h", s + 1, run)
+        part, held = F.slice("h", s + 1, run), F.slice("full", s + 1, run)
         least = F.array_min(part)
         return F.struct(
             s.alias("start"),
@@ -45,7 +73,7 @@ def drop_repeated_lines(documents: DataFrame, run: int = 3) -> DataFrame:
             F.xxhash64(part).alias("key"),
             least.alias("mark"),
             (s + run - F.array_position(F.reverse(part), least).cast("int")).alias("mark_at"),
-            F.exists(F.slice("full", s + 1, run), lambda x: x).alias("some"),
+            (F.exists(held, lambda x: x) if words is None else F.aggregate(held, F.lit(0), lambda n, x: n + x) >= words).alias("some"),
         )
 
     windows = hashed.select("doc", "print", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - run), window)).alias("w")).where("w.some").select("doc", "print", "w.*")
@@ -55,15 +83,7 @@ def drop_repeated_lines(documents: DataFrame, run: int = 3) -> DataFrame:
     first = met.groupBy("key", "head").agg(F.min(F.struct("doc", "start")).alias("first"))
     later = met.join(first, ["key", "head"]).where(F.col("first") < F.struct("doc", "start"))
     gone = later.groupBy("doc", "print").agg(F.collect_set("start").alias("starts"))
-    gone = gone.select("doc", "print", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))).alias("gone"))
-
-    lines = F.split("row.text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    judged = whole.join(gone, ["doc", "print"], "left")
-    extra = [F.when(F.coalesce(F.col("row.text"), F.lit("")) == "", F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
-    kept = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_removed")]
-    return judged.select(*kept, *extra)
+    return gone.select("doc", "print", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))).alias("gone"))
 
 
 #: The same rows for DuckDB; ``{run}`` lines make a window.
