@@ -20,7 +20,7 @@ from dwell.llm.tokens import WordEncoder
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 #: Places of the table of document frequencies; words that fall on one place count as one there.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Documents that others are grouped around, and the width of the hashed vectors that compare them.
 LEADERS, WIDTH = 1024, 512
 _BUCKET, _FLUSH, _CACHE = 1 << 16, 400_000, 500_000
@@ -80,11 +80,15 @@ def statistics(documents: DataFrame) -> Statistics:
         return pa.table({"bucket": group.column("bucket").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
 
     kinds = "bucket long, counts binary"
-    summed = documents.select("text").mapInArrow(count, kinds).groupBy("bucket").applyInArrow(add, kinds).collect()
-    parts = {r.bucket: np.frombuffer(zstandard.decompress(bytes(r.counts)), "<i8") for r in summed}
-    n, words = parts.pop(-1, (0, 0))
-    table = np.concatenate([parts[k] for k in sorted(parts)]) if parts else np.zeros(SLOTS, np.int64)
-    return Statistics(int(n), words / max(1, n), np.minimum(table, (1 << 32) - 1).astype(np.uint32))
+    summed = documents.select("text").mapInArrow(count, kinds).groupBy("bucket").applyInArrow(add, kinds)
+    n, words, table = 0, 0, np.zeros(SLOTS, np.uint32)
+    for r in summed.collect():
+        sums = np.frombuffer(zstandard.decompress(bytes(r.counts)), "<i8")
+        if r.bucket < 0:
+            n, words = sums.tolist()
+        else:
+            table[r.bucket * _BUCKET : (r.bucket + 1) * _BUCKET] = np.minimum(sums, (1 << 32) - 1)
+    return Statistics(n, words / max(1, n), table)
 
 
 def vectors(texts: list[bytes], codes: Codes, known: Statistics) -> np.ndarray:
@@ -108,8 +112,8 @@ def content_keys(texts: list[bytes], marks: list[int], codes: Codes, known: Stat
     return best + away.astype(float) + (np.array(marks, np.int64) & 0xFFFF) * 1e-7
 
 
-def _keyed(documents: DataFrame, shard_bytes: int) -> tuple[DataFrame, Statistics]:
-    """(part, key, doc_id, text) with the part of each document: about ``shard_bytes`` of related texts."""
+def _keyed(documents: DataFrame, shard_bytes: int):
+    """(part, key, doc_id, text) with the part of each document, about ``shard_bytes`` of related texts; the broadcast statistics."""
     context = documents.sparkSession.sparkContext
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("mark"))
     known = statistics(rows)
@@ -151,7 +155,7 @@ def _keyed(documents: DataFrame, shard_bytes: int) -> tuple[DataFrame, Statistic
         for b in keys(batches):
             yield batch(part=pa.array(np.searchsorted(bounds.value, b.column(0).to_numpy()).astype(np.int64)), key=b.column(0), doc_id=b.column(1), text=b.column(2))
 
-    return rows.mapInArrow(deal, f"part long, {kinds}"), known
+    return rows.mapInArrow(deal, f"part long, {kinds}"), shared
 
 
 class Index:
@@ -299,8 +303,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         if ids:
             yield pieces(encode, codes, ids, texts, task + used)
 
-    dealt, known = _keyed(documents, shard_bytes)
-    shared = documents.sparkSession.sparkContext.broadcast(known)
+    dealt, shared = _keyed(documents, shard_bytes)
     ordered = dealt.repartition("part").sortWithinPartitions("part", "key", "doc_id", "text").select("part", "doc_id", "text")
     kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return ordered.mapInArrow(run, kinds)
