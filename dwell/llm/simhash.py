@@ -178,10 +178,17 @@ def near_duplicate_classes(documents: DataFrame, width: int = 3, radius: int = 3
 def drop_near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """``documents`` with one row of each near-duplicate class: that of the smallest doc_id.
 
-    Of rows that share this doc_id, one with its class's text stays; rows without doc_id stay as they
+    Where rows share a doc_id, each class keeps one with its own text; rows without doc_id stay as they
     are, as nothing names them.
     """
-    classes = near_duplicate_classes(documents, width, radius)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id is null"))
+    classes = near_duplicate_classes(documents, width, radius).where("doc_id = component_id")
+    kept = classes.groupBy("class_bits").agg(F.min("component_id").alias("_kept_id"), F.min("fingerprint").alias("fingerprint"))
+    source = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    named = documents.withColumn("_kept_source", source).withColumn("_kept_id", F.col("doc_id").cast("long"))
+    rows = named.join(kept.select("_kept_id"), "_kept_id", "left_semi").select("_kept_id", "_kept_source", "text")
+    prints = with_fingerprints(rows.select(F.col("_kept_source").alias("doc_id"), "text"), width)
+    prints = prints.select(F.col("doc_id").alias("_kept_source"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")).distinct()
+    own = rows.select("_kept_id", "_kept_source").distinct().join(prints, "_kept_source").join(kept, ["_kept_id", "fingerprint"])
+    own = own.groupBy("class_bits").agg(F.min("_kept_id").alias("_kept_id"), F.min("_kept_source").alias("_kept_source"))
+    named = named.join(own.select("_kept_id", "_kept_source"), ["_kept_id", "_kept_source"], "left_semi").dropDuplicates(["_kept_id", "_kept_source"])
+    return named.select(*documents.columns).unionByName(documents.where("doc_id is null"))
