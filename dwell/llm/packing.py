@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, utf8
-from dwell.llm.tokens import WordEncoder
+from dwell.llm.common import batch
+from dwell.llm.tokens import WordEncoder, offsets, slices, spans
 
 #: Bytes of text in a shard of the index.
 SHARD_BYTES = 8 << 20
@@ -23,16 +22,72 @@ K1, B = 1.2, 0.75
 SLOTS = 1 << 21
 #: Documents that others are grouped around, and the width of the hashed vectors that compare them.
 LEADERS, WIDTH = 1024, 512
-_BUCKET, _FLUSH, _CACHE = 1 << 16, 400_000, 500_000
+#: Places of the table in a row, tasks whose tables are summed at once, bytes hashed at a time.
+_BUCKET, _LOT, _BLOCK = 1 << 14, 1024, 1 << 18
+#: A term of fewer documents of a shard is never a row of its dense table.
+_DENSE = 64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BLOCK, int(_ODD)), _powers(_BLOCK, pow(int(_ODD), -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return ((h ^ h >> np.uint64(32)) >> np.uint64(1)).view(np.int64)
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(63-bit hash of each word between ASCII white space, first word of each text and the end).
+
+    A word's hash is the sum of its letters' numbers times powers of an odd number, so that running
+    sums over many words give them all at once. Texts aren't null.
+    """
+    edges = offsets(texts)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]] if len(texts) else np.empty(0, np.uint8)
+    edges = edges - edges[0]
+    inside = ~_SPACE[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[edges] = True
+    begin = np.flatnonzero(inside & (border[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    end = np.flatnonzero(inside & (border[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + _BLOCK, side="right")))
+        s, e = begin[at], end[to - 1]
+        up, down = (_UP, _DOWN) if e - s <= _BLOCK else (_powers(e - s, int(_ODD)), _DOWN)
+        sums = np.zeros(e - s + 1, np.uint64)
+        np.cumsum(_LETTER[data[s:e]] * up[: e - s], out=sums[1:])
+        out[at:to] = (sums[end[at:to] - s] - sums[begin[at:to] - s]) * down[begin[at:to] - s]
+        at = to
+    return _mixed(out), np.searchsorted(begin, edges)
+
+
+def word_codes_of(words: pa.Array) -> np.ndarray:
+    """The hashes of single words; 0 for empty ones."""
+    codes, first = word_codes(words)
+    out = np.zeros(len(words), np.int64)
+    out[np.diff(first) > 0] = codes
+    return out
 
 
 class Codes(dict):
-    """64-bit hashes of words, kept for the words seen."""
+    """The hashes of single words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        code = self[word] = int(word_codes(pa.array([word.decode()], pa.string()))[0][0])
         return code
 
 
@@ -49,40 +104,40 @@ class Statistics:
         return np.log1p((self.n - held + 0.5) / (held + 0.5))
 
 
+def _places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, occurrences) of the distinct places of each text's words, by text."""
+    codes, first = word_codes(texts)
+    key = np.repeat(np.arange(len(texts)) * SLOTS, np.diff(first)) + (codes & SLOTS - 1)
+    key, times = np.unique(key, return_counts=True)
+    return key // SLOTS, key & SLOTS - 1, times
+
+
 def statistics(documents: DataFrame) -> Statistics:
     """Counts over all documents; a table of bounded size reaches the driver, summed by range before."""
 
     def count(batches):
-        table, seen, n, words = np.zeros(SLOTS, np.int64), Counter(), 0, 0
-
-        def flush():
-            at = np.fromiter((xxhash.xxh64_intdigest(w) >> 1 & SLOTS - 1 for w in seen), np.int64, len(seen))
-            np.add.at(table, at, np.fromiter(seen.values(), np.int64, len(seen)))
-            seen.clear()
-
+        table, n, words = np.zeros(SLOTS, np.int32), 0, 0
         for b in batches:
-            for text in utf8(b.column(0)):
-                some = (text or b"").split()
-                n, words = n + 1, words + len(some)
-                seen.update(set(some))
-                if len(seen) > _FLUSH:
-                    flush()
-        flush()
+            for _, texts in slices(b.column(0)):
+                _, place, times = _places(texts)
+                n, words = n + len(texts), words + int(times.sum())
+                table += np.bincount(place, minlength=SLOTS).astype(np.int32)
         if n:
-            yield batch(bucket=[-1], counts=[zstandard.compress(np.array([n, words], "<i8").tobytes())])
+            lot = TaskContext.get().partitionId() // _LOT
+            yield batch(lot=[lot], bucket=[-1], counts=[zstandard.compress(np.array([n, words], "<i8").tobytes())])
             for k in range(SLOTS // _BUCKET):
-                yield batch(bucket=[k], counts=[zstandard.compress(table[k * _BUCKET : (k + 1) * _BUCKET].tobytes())])
+                yield batch(lot=[lot], bucket=[k], counts=[zstandard.compress(table[k * _BUCKET : (k + 1) * _BUCKET].astype("<i8").tobytes())])
 
     def add(group: pa.Table) -> pa.Table:
         total = 0
         for x in group.column("counts"):
             total = total + np.frombuffer(zstandard.decompress(x.as_py()), "<i8")
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
+        return pa.table({"lot": group.column("lot").slice(0, 1), "bucket": group.column("bucket").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
 
-    kinds = "bucket long, counts binary"
-    summed = documents.select("text").mapInArrow(count, kinds).groupBy("bucket").applyInArrow(add, kinds)
+    kinds = "lot long, bucket long, counts binary"
+    summed = documents.select("text").mapInArrow(count, kinds).groupBy("lot", "bucket").applyInArrow(add, kinds)
     n, words, table = 0, 0, np.zeros(SLOTS, np.uint32)
-    for r in summed.collect():
+    for r in summed.groupBy("bucket").applyInArrow(add, kinds).collect():
         sums = np.frombuffer(zstandard.decompress(bytes(r.counts)), "<i8")
         if r.bucket < 0:
             n, words = sums.tolist()
@@ -91,25 +146,30 @@ def statistics(documents: DataFrame) -> Statistics:
     return Statistics(n, words / max(1, n), table)
 
 
-def vectors(texts: list[bytes], codes: Codes, known: Statistics) -> np.ndarray:
+def vectors(texts: pa.Array, known: Statistics) -> np.ndarray:
     """Unit vectors of the words' weights (log of occurrences times idf), hashed with signs to WIDTH places."""
-    out = np.zeros((len(texts), WIDTH), np.float32)
-    for row, text in zip(out, texts):
-        words = text.split()
-        if words:
-            code, times = np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True)
-            weight = (1 + np.log(times)) * known.idf(code) ** 2 * np.where(code >> 60 & 1, 1.0, -1.0)
-            row += np.bincount(code >> 40 & WIDTH - 1, weight, WIDTH)
-            row /= max(1e-9, float(np.sqrt(row @ row)))
-    return out
+    text, place, times = _places(texts)
+    weight = (1 + np.log(times)) * known.idf(place) ** 2 * np.where(place >> 20 & 1, 1.0, -1.0)
+    out = np.bincount(text * WIDTH + (place & WIDTH - 1), weight, len(texts) * WIDTH).reshape(-1, WIDTH)
+    return (out / np.maximum(1e-9, np.sqrt((out * out).sum(1, keepdims=True)))).astype(np.float32)
 
 
-def content_keys(texts: list[bytes], marks: list[int], codes: Codes, known: Statistics, leaders: np.ndarray) -> np.ndarray:
+def content_keys(texts: pa.Array, marks: np.ndarray, known: Statistics, leaders: np.ndarray) -> np.ndarray:
     """The nearest leader and the distance from it as one number; ``marks`` only spread equal texts."""
-    likeness = vectors(texts, codes, known) @ leaders.T
+    likeness = vectors(texts, known) @ leaders.T
     best = likeness.argmax(axis=1)
     away = (1 - np.clip(likeness[np.arange(len(best)), best], -1, 1)) / 2.1
-    return best + away.astype(float) + (np.array(marks, np.int64) & 0xFFFF) * 1e-7
+    return best + away.astype(float) + (marks & 0xFFFF) * 1e-7
+
+
+def _chained(leaders: np.ndarray) -> np.ndarray:
+    """The leaders in an order in which each is followed by the one most like it that is left."""
+    likeness = leaders @ leaders.T
+    order, left = [0], np.arange(len(leaders)) > 0
+    while left.any():
+        order.append(int(np.where(left, likeness[order[-1]], -2.0).argmax()))
+        left[order[-1]] = False
+    return leaders[order]
 
 
 def _keyed(documents: DataFrame, shard_bytes: int):
@@ -126,19 +186,18 @@ def _keyed(documents: DataFrame, shard_bytes: int):
     heads = rows.where(drawn < share(1.5 * most)).select("text").limit(most)
 
     def read(batches):
-        codes = Codes()
         for b in batches:
-            yield batch(v=[v.tobytes() for v in vectors(utf8(b.column(0)), codes, shared.value)])
+            for _, texts in slices(b.column(0), 1 << 20):
+                yield batch(v=[v.tobytes() for v in vectors(texts, shared.value)])
 
     found = [np.frombuffer(bytes(r.v), np.float32) for r in heads.mapInArrow(read, "v binary").collect()] if parts > 1 else []
-    leaders = context.broadcast(np.array(found) if found else np.zeros((1, WIDTH), np.float32))
+    leaders = context.broadcast(_chained(np.array(found)) if found else np.zeros((1, WIDTH), np.float32))
 
     def keys(batches):
-        codes = Codes()
         for b in batches:
-            texts = utf8(b.column(1))
-            key = np.concatenate([np.empty(0), *(content_keys(texts[k : k + 1024], b.column(2)[k : k + 1024].to_pylist(), codes, shared.value, leaders.value) for k in range(0, len(texts), 1024))])
-            yield batch(key=pa.array(key), doc_id=b.column(0), text=b.column(1))
+            marks = b.column(2).to_numpy()
+            some = [content_keys(texts, marks[k : k + len(texts)], shared.value, leaders.value) for k, texts in slices(b.column(1), 1 << 20)]
+            yield batch(key=pa.array(np.concatenate([np.empty(0), *some])), doc_id=b.column(0), text=b.column(1))
 
     kinds = "key double, doc_id long, text string"
     edges = np.empty(0)
@@ -159,78 +218,98 @@ def _keyed(documents: DataFrame, shard_bytes: int):
 
 
 class Index:
-    """BM25 inverted index of one shard, weighted by ``known`` or else by the shard's own counts."""
-
-    def __init__(self, lists: list[list[bytes]], known: Statistics | None = None, codes: Codes | None = None):
-        self.n = len(lists)
-        codes = Codes() if codes is None else codes
-        per_doc = [np.unique(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), return_counts=True) for words in lists]
-        found = [len(h) for h, _ in per_doc]
-        keys = np.concatenate([h for h, _ in per_doc]) if self.n else np.empty(0, np.int64)
-        order = np.argsort(keys)  # postings by term; term numbers follow the same order
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        by_order = np.cumsum(new) - 1
-        term = np.empty(len(keys), np.int64)
-        term[order] = by_order
-        self.terms = np.split(term, np.cumsum(found)[:-1]) if self.n else []
-        sizes = np.array([len(x) for x in lists], float)
-        mean = known.mean if known else sizes.mean() if self.n else 1.0
+    """BM25 inverted index of one shard, weighted by ``known`` or else by the shard's own counts.
+
+    Terms that a good part of the documents have are rows of a dense table, the others lists of postings.
+    """
+
+    def __init__(self, lists: list[list[bytes]], known: Statistics | None = None):
+        numbers: dict[bytes, int] = {}
+        term = np.array([numbers.setdefault(w, len(numbers)) for words in lists for w in words], np.int64)
+        codes = Codes()
+        first = np.cumsum([0, *map(len, lists)])
+        self._build(term, first, np.array([codes[w] for w in numbers], np.int64), known, 1)
+
+    @classmethod
+    def of(cls, term: np.ndarray, first: np.ndarray, codes: np.ndarray, known: Statistics) -> Index:
+        """The index of texts of numbered words; words of one text alone, which no other can share, are left out."""
+        self = cls.__new__(cls)
+        self._build(term, first, codes, known, 2)
+        return self
+
+    def _build(self, term: np.ndarray, first: np.ndarray, codes: np.ndarray, known: Statistics | None, least: int):
+        sizes = np.diff(first)
+        self.n = n = len(sizes)
+        key, tf = np.unique(term.astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)  # by term
+        term, doc = np.divmod(key, max(1, n))
+        holders = np.bincount(term, minlength=len(codes))
+        idf = known.idf(codes) if known else np.log1p((n - holders + 0.5) / (holders + 0.5))
+        mean = known.mean if known else sizes.mean() if n else 1.0
         length = K1 * (1 - B + B * sizes / max(1.0, mean))
-        self.doc = np.repeat(np.arange(self.n), found)[order]
-        tf = (np.concatenate([c for _, c in per_doc]).astype(float) if self.n else np.empty(0))[order]
-        holders = np.bincount(by_order, minlength=int(new.sum()))
-        idf = known.idf(keys[order][new]) if known else np.log1p((self.n - holders + 0.5) / (holders + 0.5))
-        self.weight = (idf[by_order] * tf * (K1 + 1) / (tf + length[self.doc])).astype(np.float32)
-        self.first = np.concatenate([[0], np.cumsum(holders)])
+        weight = (idf[term] * tf * (K1 + 1) / (tf + length[doc])).astype(np.float32)
+        wide = holders >= max(_DENSE, n // 8)
+        on, dense = (holders[term] >= least) & ~wide[term], wide[term]
+        row = np.cumsum(wide) - 1
+        self.table = np.zeros((int(wide.sum()), n), np.float32)
+        self.table[row[term[dense]], doc[dense]] = weight[dense]
+        self.doc, self.weight = doc[on].astype(np.int32), weight[on]
+        held = np.bincount(term[on], minlength=len(codes))
+        end = np.cumsum(held)
+        self.start, self.held = end - held, held
+
+        def by_document(on, number):
+            to = np.argsort(doc[on], kind="stable")
+            return number[to], np.searchsorted(doc[on][to], np.arange(n + 1))
+
+        self.terms, self.first = by_document(on, term[on])
+        self.rows, self.first_row = by_document(dense, row[term[dense]])
 
     def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The score of each unused document for the terms of ``seed``, 0 for the others."""
-        terms = self.terms[seed]
-        starts, sizes = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return np.where(unused, np.bincount(self.doc[at], self.weight[at], self.n), 0.0)
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        at = spans(self.start[terms], self.held[terms])
+        found = np.bincount(self.doc[at], self.weight[at], self.n)
+        rows = self.rows[self.first_row[seed] : self.first_row[seed + 1]]
+        return np.where(unused, found + self.table[rows].sum(0), 0.0)
 
 
-def order_by_neighbours(lists: list[list[bytes]], sizes: np.ndarray, window: int, known: Statistics | None = None, codes: Codes | None = None) -> list[int]:
+def order_by_neighbours(index: Index, sizes: np.ndarray, window: int) -> list[int]:
     """An order of documents in which each window is seeded by what it starts with and filled greedily.
 
     The seed of a window is the document that reaches into it, or else the first unused one; its unused
-    neighbours follow, best first, and after them the unused documents in order. The document that
-    crosses the window's end seeds the next one.
+    neighbours follow, best first and the first of equal ones, and after them the unused documents in
+    order. The document that crosses the window's end seeds the next one.
     """
-    index = Index(lists, known, codes)
-    unused = np.ones(len(lists), bool)
+    n = len(sizes)
+    unused = np.ones(n, bool)
     order: list[int] = []
     total, next_free = 0, 0
-    while len(order) < len(lists):
+
+    def take(d: int):
+        nonlocal total
+        order.append(d)
+        unused[d] = False
+        total += int(sizes[d])
+
+    while len(order) < n:
         if total % window == 0:
             while not unused[next_free]:
                 next_free += 1
-            seed = next_free
-            order.append(seed)
-            unused[seed] = False
-            total += int(sizes[seed])
+            take(next_free)
             if total % window == 0:
                 continue
-        else:
-            seed = order[-1]
         end = -(-total // window) * window
-        scores = index.scores(seed, unused)
+        scores = index.scores(order[-1], unused)
         while total < end:
-            d = int(scores.argmax())  # the best neighbour that is left, the first of equal ones
+            d = int(scores.argmax())
             if scores[d] <= 0:
                 break
             scores[d] = 0.0
-            order.append(d)
-            unused[d] = False
-            total += int(sizes[d])
-        while total < end and len(order) < len(lists):
+            take(d)
+        while total < end and len(order) < n:
             while not unused[next_free]:
                 next_free += 1
-            order.append(next_free)
-            unused[next_free] = False
-            total += int(sizes[next_free])
+            take(next_free)
     return order
 
 
@@ -259,13 +338,16 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
     Null text: empty, one piece with the end id alone. Repeated rows are packed each, null doc_ids stay
     null; other columns are ignored; an empty table gives no rows.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
-    def pieces(encode, codes, ids, texts, name: int):
-        lists = [t.split() for t in texts]
-        coded = [encode(words) + end for words in lists]
-        sizes = np.array([len(c) // 4 for c in coded], np.int64)
-        order = np.array(order_by_neighbours(lists, sizes, window, shared.value, codes), np.int64)
+    def pieces(encoder, ids, texts, name: int):
+        flat, bounds, term, first, words = encoder.encode_words(texts)
+        sizes = np.diff(bounds) + 1
+        real = pc.binary_length(words).to_numpy()[term] > 0
+        index = Index.of(term[real], np.concatenate([[0], np.cumsum(real)])[first], word_codes_of(words), shared.value)
+        order = np.array(order_by_neighbours(index, sizes, window), np.int64)
+        # the end ids are set in behind each document's ids
+        coded = np.insert(flat, bounds[1:], end_id).astype("<u4").tobytes()
+        origins = bounds[:-1] + np.arange(len(sizes))
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
         total = int(ends[-1])
@@ -278,30 +360,40 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         doc = order[row]
         start = begin - starts[row]
         length = stop - begin
-        parts = [coded[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
+        at = 4 * (origins[doc] + start)
+        parts = [coded[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
         return batch(
-            doc_id=pa.array([ids[d] for d in doc.tolist()], pa.int64()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids=pa.array(parts, pa.binary()),
+            doc_id=ids.take(pa.array(doc)), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids=pa.array(parts, pa.binary()),
             doc_tokens=pa.array(sizes[doc], pa.int64()), sequence_id=pa.array(name + sequence, pa.int64()), offset=pa.array(begin - origin, pa.int64()),
         )
 
     def run(batches):
         # a shard's sequences are numbered after those of the shards before it in the task
-        task, used = TaskContext.get().partitionId() << 40, 0
-        encode, codes = WordEncoder(tokenizer).encode_words, Codes()
+        used, encoder = TaskContext.get().partitionId() << 40, WordEncoder(tokenizer)
         ids, texts, size, shard = [], [], 0, None
+
+        def flush():
+            nonlocal ids, texts, size, used
+            out = pieces(encoder, pa.concat_arrays(ids), pa.concat_arrays(texts), used)
+            used = out.column(5)[-1].as_py() + 1
+            ids, texts, size = [], [], 0
+            return out
+
         for b in batches:
-            for part, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
-                if ids and (part != shard or size >= 2 * shard_bytes):
-                    out = pieces(encode, codes, ids, texts, task + used)
-                    used = out.column(5)[-1].as_py() - task + 1
-                    yield out
-                    ids, texts, size = [], [], 0
-                shard = part
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
+            part, bytes_ = b.column(0).to_numpy(), np.diff(offsets(b.column(2)))
+            at = 0
+            while at < len(part):
+                if ids and (part[at] != shard or size >= 2 * shard_bytes):
+                    yield flush()
+                shard = part[at]
+                most = np.searchsorted(np.cumsum(bytes_[at:]), 2 * shard_bytes - size) + 1
+                to = at + min(int(most), int(np.searchsorted(part[at:], shard, side="right")))
+                ids.append(b.column(1).slice(at, to - at))
+                texts.append(b.column(2).slice(at, to - at))
+                size += int(bytes_[at:to].sum())
+                at = to
         if ids:
-            yield pieces(encode, codes, ids, texts, task + used)
+            yield flush()
 
     dealt, shared = _keyed(documents, shard_bytes)
     ordered = dealt.repartition("part").sortWithinPartitions("part", "key", "doc_id", "text").select("part", "doc_id", "text")

@@ -6,15 +6,19 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, checkpointed, utf8
+from dwell.llm.common import batch, checkpointed
 
-#: Words of each generation of a task's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_LENGTH = 600_000, 64
+#: Parts of words in each generation of a task's cache, and the longest part that is kept.
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Bytes of text that are encoded at a time, and words that are joined for the tokenizer.
+SLICE_BYTES, _JOINED = 16 << 20, 4096
 #: Marks that end a word as a piece of their own; an apostrophe could start a contraction.
-_MARKS = b".,;:!?%*#$&|)"
+_MARKS = ".,;:!?%*#$&|)"
 
 
 @lru_cache(2)
@@ -32,91 +36,128 @@ def _load(path: str):
 
 
 class WordEncoder:
-    """Ids of whole texts of a tokenizer that never joins over ASCII white space, word by word.
+    """Ids of whole texts of a tokenizer that never joins over ASCII white space, by distinct words.
 
-    Each word's ids are kept as little-endian unsigned 32-bit bytes, so a text is a join of cached
-    bytes. Letters and the marks after them are pieces of their own in any case, so words are split
-    there and share their parts. Two generations bound the cache, which lives as long as its task.
+    Words of a column are made distinct first. Letters and the marks after them are pieces of their own in
+    any case, so a word is cut there and its parts are shared by words; parts that aren't cached are
+    encoded as one text. Two generations bound the cache, which lives as long as its task.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.word_end = _load(path)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of each part. Parts of letters are one piece each, so as one text they end at its word ends."""
-        out: dict[bytes, bytes] = {}
-        texts = {p: p.decode() for p in parts}
-        letters = [p for p, t in texts.items() if t.lower().isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join([texts[p] for p in letters]), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.word_end[ids]) + 1
-        if len(ends) == len(letters):
-            raw = ids.tobytes()
-            out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(letters, [0, *ends.tolist()], ends.tolist()))
-        for p in parts:
-            if p not in out:
-                out[p] = np.array(self.tokenizer.encode(texts[p], add_special_tokens=False).ids, "<u4").tobytes()
-        return [out[p] for p in parts]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that the new generation lacks; it gets them, and the parts that are of use to others."""
-        new, old = self.new, self.old
-        found: dict[bytes, bytes] = {}
-        cut: list[tuple[bytes, bytes, bytes]] = []
-        unknown: set[bytes] = set()
-        for w in words:
-            ids = old.get(w)
-            if ids is not None:
-                found[w] = ids
-                continue
-            core = w.rstrip(_MARKS)
-            if core != w or not w.islower():
-                if core.decode().lower().isalpha():
-                    marks = w[len(core) :]
-                    core = core.lower()
-                    cut.append((w, core, marks))
-                    for p in (core, marks):
-                        if p not in new and p not in words:
-                            if p in old:
-                                found[p] = old[p]
-                            else:
-                                unknown.add(p)
-                    if core == w:
-                        unknown.add(w)
-                        cut.pop()
-                    continue
-            unknown.add(w)
-        unknown.discard(b"")
-        parts = list(unknown)
-        found.update(zip(parts, self._encode(parts) if parts else ()))
-        found[b""] = b""
-        for w, core, marks in cut:
-            # a part that is itself among the words may be cut in turn, but never into itself
-            for p in (core, marks):
-                if p not in found and p not in new:
-                    found[p] = self._encode([p])[0]
-            found[w] = (found.get(core) or new[core]) + (found.get(marks) or new.get(marks, b""))
-        if len(new) + len(found) > CACHE_WORDS:
-            self.old, self.new = new, {}
-        self.new.update(found if all(len(w) <= CACHE_LENGTH for w in found) else {w: i for w, i in found.items() if len(w) <= CACHE_LENGTH})
-        return found
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_letters(self, parts: list[str]) -> list[bytes]:
+        """The ids of words of letters, empty for those that aren't one piece; as one text they end at its word ends."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), _JOINED):
+            some = parts[at : at + _JOINED]
+            raw = self._encode([" ".join(some)])[0]
+            ends = 4 * (np.flatnonzero(self.word_end[np.frombuffer(raw, "<u4")]) + 1)
+            if len(ends) == len(some):
+                ends = ends.tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                ids = self._encode(some)
+                out += [x if self.word_end[np.frombuffer(x, "<u4")].sum() == 1 else b"" for x in ids]
+        return out
+
+    def _known(self, parts: list[str], encode) -> list[bytes]:
+        """The ids of distinct parts, those of ``encode`` for parts that no generation has."""
+        out = list(map(self.new.get, parts))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            fresh = {parts[i]: self.old.get(parts[i]) for i in missing}
+            unknown = [p for p, x in fresh.items() if x is None]
+            fresh.update(zip(unknown, encode(unknown)))
+            for i in missing:
+                out[i] = fresh[parts[i]]
+            fresh = {p: x for p, x in fresh.items() if len(p) <= CACHE_LENGTH}
+            if len(self.new) + len(fresh) > CACHE_WORDS:
+                self.old, self.new = self.new, {}
+            if len(fresh) <= CACHE_WORDS:
+                self.new.update(fresh)
+        return out
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first of each word and the end) of distinct words."""
+        core = pc.ascii_rtrim(words, characters=_MARKS)
+        letters = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        edges = offsets(words)
+        size = np.diff(edges)
+        tail = size - pc.binary_length(core).to_numpy(zero_copy_only=False)
+        letters &= tail <= 8
+        # the marks of a word as a number: its last bytes
+        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] is not None else np.zeros(1, np.uint8)
+        number = np.zeros(len(words), np.int64)
+        for k in range(1, 9):
+            on = np.flatnonzero(letters & (tail >= k))
+            number[on] = number[on] << 8 | data[edges[on + 1] - tail[on] + k - 1]
+        whole = pc.ascii_lower(core.filter(pa.array(letters))).dictionary_encode()
+        cores = self._known(whole.dictionary.to_pylist(), self._encode_letters)
+        single = np.fromiter(map(bool, cores), bool, len(cores))
+        at = np.full(len(words), -1, np.int64)  # the part that a word starts with
+        at[letters] = whole.indices.to_numpy()
+        at[letters] = np.where(single[at[letters]], at[letters], -1) if len(cores) else -1
+        rest = np.flatnonzero((at < 0) & (size > 0))
+        odd = self._known([" " + w for w in words.take(pa.array(rest)).to_pylist()], self._encode)
+        at[rest] = len(cores) + np.arange(len(rest))
+        names, mark = np.unique(np.where(at < len(cores), number, 0), return_inverse=True)
+        marks = self._known([" " + int(n).to_bytes(8, "big").lstrip(b"\0").decode() for n in names], self._encode)
+        parts = [*cores, *odd, *marks, b""]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        at[at < 0] = len(parts) - 1
+        pair = np.stack([at, len(cores) + len(odd) + mark], 1).ravel()
+        return ids[spans(starts[pair], sizes[pair])], np.concatenate([[0], np.cumsum(sizes[pair])[1::2]])
+
+    def encode_words(self, texts: pa.Array):
+        """(ids of all texts as 32-bit numbers, first id of each text and the end, number of each word, first word of each text and the end, distinct words).
+
+        Texts aren't null; an empty word may stand at their ends.
+        """
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        ids, bounds = self._table(words.dictionary)
+        code, first = words.indices.to_numpy(), lists.offsets.to_numpy()
+        first = first.astype(np.int64) - first[0]
+        size = np.diff(bounds)[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ids[spans(bounds[code], size)], ends[first], code, first, words.dictionary
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as 32-bit numbers, first id of each text and the end); texts aren't null."""
+        return self.encode_words(texts)[:2]
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of ``text`` (UTF-8) as little-endian unsigned 32-bit numbers."""
-        return self.encode_words((text or b"").split())
+        return self.encode_column(pa.array([(text or b"").decode()], pa.string()))[0].tobytes()
 
-    def encode_words(self, words: list[bytes]) -> bytes:
-        """The same for the words of a text between ASCII white space."""
-        known = self.new
-        missing = set(words).difference(known)
-        if not missing:
-            return b"".join(map(known.__getitem__, words))
-        found = self._learn(missing)
-        try:
-            return b"".join(map(self.new.__getitem__, words))
-        except KeyError:  # a long word, or a new generation
-            return b"".join([found[w] if w in found else known[w] for w in words])
+
+def offsets(column: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes of all elements of spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def slices(column: pa.Array, most: int = SLICE_BYTES):
+    """Runs of texts of about ``most`` bytes, null as empty, as (first row, column)."""
+    column = column.fill_null("")
+    ends = np.cumsum(np.diff(offsets(column)))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
+        yield at, column.slice(at, to - at)
+        at = to
 
 
 def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> DataFrame:
@@ -128,11 +169,11 @@ def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> Da
     """
 
     def run(batches):
-        encode = WordEncoder(tokenizer).encode
+        encode = WordEncoder(tokenizer).encode_column
         for b in batches:
-            sizes = np.fromiter((len(encode(t)) // 4 + extra for t in utf8(b.column(0))), np.int64, b.num_rows)
-            values, n = np.unique(sizes, return_counts=True)
-            yield batch(n_tokens=values, n_docs=n)
+            for _, texts in slices(b.column(0)):
+                values, n = np.unique(np.diff(encode(texts)[1]) + extra, return_counts=True)
+                yield batch(n_tokens=values, n_docs=n)
 
     sizes = documents.select("text").mapInArrow(run, "n_tokens long, n_docs long")
     return checkpointed(sizes.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
