@@ -40,19 +40,20 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for each node of a link, root the smallest node reachable; roots map to themselves.
 
     ``links`` holds two long columns; nulls and self links are ignored, an empty table gives an empty
-    one. No node's neighbours are gathered: minima are pre-aggregated and joined back to the links, so
-    a hub's links stay spread. Each round is checkpointed.
+    one. No node's neighbours are gathered: minima are pre-aggregated and joined back to the links. They
+    are materialised first, so that both sides of the join are read as they are and a hub's links can be
+    split over tasks. Each round is checkpointed.
     """
     edges = links.select(F.col(left).cast("long").alias("node"), F.col(right).cast("long").alias("root"))
     edges = checkpointed(edges.where("node <> root").mapInArrow(_contract, _EDGE))
     state = None
     while True:
         both = edges.union(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("least"))
+        least = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("least")))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root"))
         large = large.where("node <> root").union(least.where("least < node").select("node", F.col("least").alias("root")))
-        down = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
-        least = down.groupBy("node").agg(F.min("root").alias("least"))
+        down = checkpointed(large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct())
+        least = checkpointed(down.groupBy("node").agg(F.min("root").alias("least")))
         small = down.join(least, "node").select(F.explode(F.array(F.struct("node", F.col("least").alias("root")), F.struct(F.col("root").alias("node"), F.col("least").alias("root")))).alias("e"))
         edges = checkpointed(small.select("e.node", "e.root").where("node <> root").distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
