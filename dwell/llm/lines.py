@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import spark_words
+from dwell.llm.common import checkpointed, spark_words
 
 #: Stands for a null doc_id in the order of documents.
 _LAST = (1 << 63) - 1
@@ -22,8 +22,8 @@ def drop_repeated_lines(documents: DataFrame, run: int = 3, words: int | None =
     Each window picks its smallest line hash (the last of equal ones) as fingerprint, so equal windows
     pick the same line; fingerprints at one position only rule their windows out. Windows around the
     others are compared by content with the first place of each; consecutive ones make up the maximal
-    repeats. First places are pre-aggregated and joined back, so a line of very many documents is one
-    row of the joined side.
+    repeats. First places are pre-aggregated, materialised and joined back, so a line of very many
+    documents is one row of one side, and the other side can be split over tasks.
 
     Null or empty text: kept as it is, no lines. Rows that share a doc_id count as one document for the
     order, so equal rows don't cut each other; null doc_ids come after all others, as one document. A
@@ -36,7 +36,11 @@ def drop_repeated_lines(documents: DataFrame, run: int = 3, words: int | None =
         F.coalesce(documents["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"),
         F.xxhash64(F.coalesce(documents["text"], F.lit(""))).alias("print"),
     )
-    hashed = whole.where("row.text <> ''").select("doc", "print", F.split("row.text", "\n", -1).alias("lines"))
+    split = whole.where("row.text <> ''").select("doc", "print", F.split("row.text", "\n", -1).alias("lines"))
+    full = lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != ""
+    counts = [] if words is None else [F.transform("lines", lambda x: F.size(spark_words(x))).alias("words")]
+    # texts are split and hashed once; windows are made of the hashes
+    hashed = checkpointed(split.select("doc", "print", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", full).alias("full"), *counts))
     gone = _repeats(hashed, run)
     if words is not None:
         for size in range(1, run):
@@ -57,12 +61,7 @@ def _repeats(texts: DataFrame, run: int, words: int | None = None) -> DataFrame:
 
     A window counts if it holds ``words`` words, or without ``words`` if a line of it isn't blank.
     """
-    hashed = texts.where(F.size("lines") >= run)
-    if words is None:
-        full = F.transform("lines", lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
-    else:
-        full = F.transform("lines", lambda x: F.size(spark_words(x)))
-    hashed = hashed.select("doc", "print", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), full.alias("full"))
+    hashed = texts.where(F.size("h") >= run).select("doc", "print", "h", F.col("full" if words is None else "words").alias("full"))
 
     def window(s):
         part, held = F.slice("h", s + 1, run), F.slice("full", s + 1, run)
@@ -79,8 +78,10 @@ def _repeats(texts: DataFrame, run: int, words: int | None = None) -> DataFrame:
     windows = hashed.select("doc", "print", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - run), window)).alias("w")).where("w.some").select("doc", "print", "w.*")
     place = F.struct("doc", "mark_at")
     marks = windows.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("mark")
+    marks = checkpointed(marks)
     met = windows.join(marks, "mark", "left_semi").select("doc", "print", "start", "head", "key")
     first = met.groupBy("key", "head").agg(F.min(F.struct("doc", "start")).alias("first"))
+    first = checkpointed(first)
     later = met.join(first, ["key", "head"]).where(F.col("first") < F.struct("doc", "start"))
     gone = later.groupBy("doc", "print").agg(F.collect_set("start").alias("starts"))
     return gone.select("doc", "print", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))).alias("gone"))
