@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import ascii_lower
+from dwell.llm.common import ascii_lower, checkpointed
 
 #: Rules above this many are joined by shuffle, not broadcast.
 BROADCAST_RULES = 100_000
@@ -21,7 +21,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     Each distinct (host, path) is expanded to its host suffixes times those path prefixes whose length
     some rule has. Expressions meet rules on the first 32 bits of their SHA-256 and are confirmed by
-    the whole digest. Expansion is of distinct addresses, so an address of very many pages counts once.
+    the whole digest. Expansion is of distinct addresses, so an address of very many pages counts once;
+    their verdicts are materialised and joined back, so that its pages can be split over tasks.
 
     A null url or one without ``://``: host and path empty, no rule. Empty rule hosts, null hosts or
     verdicts fit nothing; a null rule path counts as empty. Repeated rules and rows are harmless; an
@@ -52,8 +53,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     asked = address.select("host", "path", F.explode(pairs).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     met = asked.join(marked, "short").where("digest = rule_digest")
     rank = F.struct(F.length("rule"), F.col("rule"), (F.col("verdict") == "block"), F.col("verdict"))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
-    judged = split.join(best, ["host", "path"], "left")
+    best = checkpointed(met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best")))
+    # pages without a host meet nothing and needn't meet in one task
+    spread = F.when(F.col("host") == "", F.concat(F.lit("\n"), F.xxhash64("page_id").cast("string"))).otherwise(F.col("host"))
+    best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best")
+    judged = split.withColumn("_spread", spread).join(best, (F.col("_spread") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
