@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -55,18 +56,34 @@ def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, n
     return (keys >> np.uint64(64 - bits)).astype(np.int64).ravel(), (np.cumsum(letters) - letters) * len(ORDERS), letters
 
 
+#: A cut is moved on to white space up to so many characters away, else to any character that isn't a letter.
+_REACH = 1 << 16
+_GAP, _BREAK = re.compile(r"\s"), re.compile(r"[\W\d_]")
+
+
 def _slices(texts: list[str | None], most: int):
-    """Runs of texts of about ``most`` characters; a longer text comes in pieces, marked by its number."""
+    """Runs of texts of about ``most`` characters; a longer text comes in pieces, marked by its number.
+
+    Pieces end before a character that isn't a letter, so no n-gram of letters lies across a border and
+    the pieces have the n-grams of the whole text, whatever ``most`` is.
+    """
     run, size = [], 0
     for i, t in enumerate(texts):
         t = t or ""
-        for at in range(0, max(1, len(t)), most):
-            piece = t[at : at + most]
-            run.append((i, piece))
-            size += len(piece)
+        at = 0
+        while True:
+            to = at + most
+            if to < len(t):
+                found = _GAP.search(t, to, to + _REACH) or _BREAK.search(t, to)
+                to = found.start() if found else len(t)
+            run.append((i, t[at:to]))
+            size += min(to, len(t)) - at
+            at = to
             if size >= most:
                 yield run
                 run, size = [], 0
+            if at >= len(t):
+                break
     if run:
         yield run
 
@@ -94,7 +111,8 @@ def train(documents: DataFrame, per_language: int = 2000, bits: int = 16, smooth
     """Fit on about ``per_language`` documents of each non-null lang at most, whole texts.
 
     The sample is drawn by a hash of doc_id, so it's the same in every run. Class priors are the shares
-    of all labelled documents. Rows without text, lang or doc_id are left out.
+    of all labelled documents. Rows without text, lang or doc_id are left out. More than MAX_LANGUAGES
+    distinct labels are an error, as the model's size must stay bounded.
     """
     labelled = documents.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
