@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch
+from dwell.llm.common import batch, tidy
 from dwell.llm.tokens import WordEncoder, offsets, slices, spans
 
 #: Bytes of text in a shard of the index.
@@ -135,7 +135,7 @@ def statistics(documents: DataFrame) -> Statistics:
         return pa.table({"lot": group.column("lot").slice(0, 1), "bucket": group.column("bucket").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
 
     kinds = "lot long, bucket long, counts binary"
-    summed = documents.select("text").mapInArrow(count, kinds).groupBy("lot", "bucket").applyInArrow(add, kinds)
+    summed = documents.select("text").mapInArrow(tidy(count), kinds).groupBy("lot", "bucket").applyInArrow(add, kinds)
     n, words, table = 0, 0, np.zeros(SLOTS, np.uint32)
     for r in summed.groupBy("bucket").applyInArrow(add, kinds).collect():
         sums = np.frombuffer(zstandard.decompress(bytes(r.counts)), "<i8")
@@ -190,7 +190,7 @@ def _keyed(documents: DataFrame, shard_bytes: int):
             for _, texts in slices(b.column(0), 1 << 20):
                 yield batch(v=[v.tobytes() for v in vectors(texts, shared.value)])
 
-    found = [np.frombuffer(bytes(r.v), np.float32) for r in heads.mapInArrow(read, "v binary").collect()] if parts > 1 else []
+    found = [np.frombuffer(bytes(r.v), np.float32) for r in heads.mapInArrow(tidy(read), "v binary").collect()] if parts > 1 else []
     leaders = context.broadcast(_chained(np.array(found)) if found else np.zeros((1, WIDTH), np.float32))
 
     def keys(batches):
@@ -202,7 +202,7 @@ def _keyed(documents: DataFrame, shard_bytes: int):
     kinds = "key double, doc_id long, text string"
     edges = np.empty(0)
     if parts > 1:
-        sample = rows.where(drawn < share(max(4096, 32 * parts))).mapInArrow(keys, kinds).select("key", F.octet_length("text").alias("size")).toArrow()
+        sample = rows.where(drawn < share(max(4096, 32 * parts))).mapInArrow(tidy(keys), kinds).select("key", F.octet_length("text").alias("size")).toArrow()
         at, size = sample.column("key").to_numpy(), sample.column("size").to_numpy()
         order = np.argsort(at)
         if len(at):
@@ -214,7 +214,7 @@ def _keyed(documents: DataFrame, shard_bytes: int):
         for b in keys(batches):
             yield batch(part=pa.array(np.searchsorted(bounds.value, b.column(0).to_numpy()).astype(np.int64)), key=b.column(0), doc_id=b.column(1), text=b.column(2))
 
-    return rows.mapInArrow(deal, f"part long, {kinds}"), shared
+    return rows.mapInArrow(tidy(deal), f"part long, {kinds}"), shared
 
 
 class Index:
@@ -346,7 +346,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         index = Index.of(term[real], np.concatenate([[0], np.cumsum(real)])[first], word_codes_of(words), shared.value)
         order = np.array(order_by_neighbours(index, sizes, window), np.int64)
         # the end ids are set in behind each document's ids
-        coded = np.insert(flat, bounds[1:], end_id).astype("<u4").tobytes()
+        coded = memoryview(np.insert(flat, bounds[1:], end_id)).cast("B")
         origins = bounds[:-1] + np.arange(len(sizes))
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
@@ -361,7 +361,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         start = begin - starts[row]
         length = stop - begin
         at = 4 * (origins[doc] + start)
-        parts = [coded[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+        parts = [bytes(coded[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
         return batch(
             doc_id=ids.take(pa.array(doc)), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids=pa.array(parts, pa.binary()),
             doc_tokens=pa.array(sizes[doc], pa.int64()), sequence_id=pa.array(name + sequence, pa.int64()), offset=pa.array(begin - origin, pa.int64()),
@@ -398,7 +398,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
     dealt, shared = _keyed(documents, shard_bytes)
     ordered = dealt.repartition("part").sortWithinPartitions("part", "key", "doc_id", "text").select("part", "doc_id", "text")
     kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return ordered.mapInArrow(run, kinds)
+    return ordered.mapInArrow(tidy(run), kinds)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

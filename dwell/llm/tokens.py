@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, checkpointed
+from dwell.llm.common import batch, checkpointed, tidy
 
 #: Parts of words in each generation of a task's cache, and the longest part that is kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
-#: Bytes of text that are encoded at a time, and words that are joined for the tokenizer.
-SLICE_BYTES, _JOINED = 16 << 20, 4096
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+#: Bytes of text that are encoded at a time, words that are joined for the tokenizer and whose ids are laid out at once.
+SLICE_BYTES, _JOINED, _LAID = 16 << 20, 4096, 1 << 18
 #: Marks that end a word as a piece of their own; an apostrophe could start a contraction.
 _MARKS = ".,;:!?%*#$&|)"
 
@@ -127,7 +127,11 @@ class WordEncoder:
         first = first.astype(np.int64) - first[0]
         size = np.diff(bounds)[code]
         ends = np.concatenate([[0], np.cumsum(size)])
-        return ids[spans(bounds[code], size)], ends[first], code, first, words.dictionary
+        laid = np.empty(ends[-1], ids.dtype)
+        for a in range(0, len(code), _LAID):
+            b = min(a + _LAID, len(code))
+            laid[ends[a] : ends[b]] = ids[spans(bounds[code[a:b]], size[a:b])]
+        return laid, ends[first], code, first, words.dictionary
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as 32-bit numbers, first id of each text and the end); texts aren't null."""
@@ -175,7 +179,7 @@ def length_histogram(documents: DataFrame, tokenizer: str, extra: int = 0) -> Da
                 values, n = np.unique(np.diff(encode(texts)[1]) + extra, return_counts=True)
                 yield batch(n_tokens=values, n_docs=n)
 
-    sizes = documents.select("text").mapInArrow(run, "n_tokens long, n_docs long")
+    sizes = documents.select("text").mapInArrow(tidy(run), "n_tokens long, n_docs long")
     return checkpointed(sizes.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 

@@ -12,14 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch
+from dwell.llm.common import batch, tidy
 from dwell.llm.simhash import fingerprint
 from dwell.llm.tokens import slices, spans
 
 #: Tokens of a block of a chain, and words of a worker's cache.
-BLOCK, CACHE_WORDS = 64, 200_000
+BLOCK, CACHE_WORDS = 64, 100_000
 #: Bytes of the texts that a model is fitted on, and of those scored at a time.
-SAMPLE_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
+SAMPLE_BYTES, SLICE_BYTES = 64 << 20, 2 << 20
 #: Toxic documents that a word must be in to mark them.
 LEAST = 4
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&"
@@ -205,9 +205,9 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, bits:
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, counts = _sample(texts, marked, per_class, sample_bytes)
-    if not rows:
-        return None
     toxic = np.array([r[2] for r in rows])
+    if not toxic.any() or toxic.all():
+        return None
     names: dict[bytes, int] = {}
     parts = [np.array([names.setdefault(normal(w), len(names)) for w in t.split()], np.int64) for _, t, _ in rows]
     sizes = np.array([len(x) for x in parts])
@@ -354,7 +354,7 @@ def score(documents: DataFrame, model: ToxicityModel | None, threshold: float =
             yield batch(doc_id=b.column(0), score=chance, predicted=pa.array((chance >= threshold).astype(np.int32)), spans=pa.array(spots, _SPANS))
 
     kinds = "doc_id long, score double, predicted int, spans array<struct<begin:long,end:long,chance:double>>"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), kinds)
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel | None, threshold: float = 0.7) -> DataFrame:
@@ -370,4 +370,4 @@ def drop_toxic(documents: DataFrame, model: ToxicityModel | None, threshold: flo
                 keep[start : start + len(texts)] = scorer(texts)[0] < threshold
             yield b.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
