@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import AFTSurvivalRegression, IsotonicRegression
 from pyspark.sql import DataFrame
@@ -45,10 +46,18 @@ class FeatureEncoder:
         return cls(state["levels"], state["means"], state["scales"])
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """(x, duration, observed, n): equal rows counted, as x has few values where it is made of levels and months."""
+    cells = rows.groupBy("x", F.col("duration").cast("double").alias("duration"), F.col("observed").cast("double").alias("observed"))
+    return cells.agg(F.count("*").cast("double").alias("n"))
+
+
 def _blocks(batches, size: int):
+    """The columns of Arrow batches of _cells as arrays; x is its flat values."""
     for b in batches:
-        if len(b):
-            yield np.stack(b["x"].to_numpy()).reshape(len(b), size), b["duration"].to_numpy(float), b["observed"].to_numpy(float)
+        if b.num_rows:
+            x = b.column(0).flatten().to_numpy().reshape(b.num_rows, size)
+            yield x, *[b.column(i).to_numpy() for i in (1, 2, 3)]
 
 
 def fit_weibull(rows: DataFrame, size: int, steps: int = 40, ridge: float = 0.015, shape_ridge: float = 0.01) -> np.ndarray:
@@ -61,16 +70,16 @@ def fit_weibull(rows: DataFrame, size: int, steps: int = 40, ridge: float = 0.01
     theta = np.zeros(size + 2)
     theta[0] = math.log(max(start["m"] or start["all"] or 1.0, 1.0))
     penalty = np.array([0.0, *[ridge] * size, shape_ridge])
-    rows = rows.select("x", "duration", "observed").persist()  # read once for all steps
+    rows = _cells(rows).persist()  # read once for all steps
 
     def sums(theta: np.ndarray):
         def run(batches):
             g, h, f = np.zeros(size + 2), np.zeros((size + 2, size + 2)), 0.0
             k = math.exp(theta[-1])
-            for x, t, e in _blocks(batches, size):
+            for x, t, e, n in _blocks(batches, size):
                 x = np.hstack([np.ones((len(x), 1)), x])
                 z = k * (np.log(np.maximum(t, 0.5)) - x @ theta[:-1])
-                c = np.exp(np.clip(z, -30, 30))
+                e, c = n * e, n * np.exp(np.clip(z, -30, 30))
                 f += float((e * (theta[-1] + z) - c).sum())
                 g[:-1] += x.T @ (k * (c - e))
                 g[-1] += float((e * (1 + z) - c * z).sum())
@@ -79,9 +88,9 @@ def fit_weibull(rows: DataFrame, size: int, steps: int = 40, ridge: float = 0.01
                 h[:-1, -1] += cross
                 h[-1, :-1] += cross
                 h[-1, -1] += float((e * z - c * z - c * z * z).sum())
-            yield pd.DataFrame({"f": [f], "g": [g.tolist()], "h": [h.ravel().tolist()]})
+            yield pa.RecordBatch.from_pydict({"f": [f], "g": [g.tolist()], "h": [h.ravel().tolist()]})
 
-        parts = rows.mapInPandas(run, "f double, g array<double>, h array<double>").toLocalIterator()
+        parts = rows.mapInArrow(run, "f double, g array<double>, h array<double>").collect()  # one row a task
         f, g, h = 0.0, np.zeros(size + 2), np.zeros((size + 2) ** 2)
         for p in parts:
             f, g, h = f + p["f"], g + np.array(p["g"]), h + np.array(p["h"])
@@ -125,14 +134,14 @@ def conditional_weibull(scale: F.Column, shape: F.Column, elapsed: F.Column, ahe
 
 def fit_cox(rows: DataFrame, size: int, steps: int = 30, ridge: float = 0.02) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """(coefficients, baseline hazard) of the penalised mean partial likelihood with Breslow ties, by Newton steps."""
-    rows = rows.select("x", "duration", "observed").persist()  # read once for all steps
+    rows = _cells(rows).persist()  # read once for all steps
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
 
     def sums(beta: np.ndarray) -> pd.DataFrame:
         def run(batches):
             total: dict[float, np.ndarray] = {}
-            for x, t, e in _blocks(batches, size):
-                r = np.exp(np.clip(x @ beta, -20, 20))
+            for x, t, e, n in _blocks(batches, size):
+                e, r = n * e, n * np.exp(np.clip(x @ beta, -20, 20))
                 parts = np.column_stack([r, e, e * (x @ beta), x * r[:, None], x * e[:, None], *[x[:, i] * x[:, j] * r for i, j in pairs]])
                 days, at = np.unique(t, return_inverse=True)
                 add = np.zeros((len(days), parts.shape[1]))
@@ -140,10 +149,10 @@ def fit_cox(rows: DataFrame, size: int, steps: int = 30, ridge: float = 0.02) ->
                 for d, a in zip(days.tolist(), add):
                     total[d] = total.get(d, 0) + a
             if total:
-                yield pd.DataFrame({"duration": list(total), "s": [a.tolist() for a in total.values()]})
+                yield pa.RecordBatch.from_pydict({"duration": list(total), "s": [a.tolist() for a in total.values()]})
 
         width = 3 + 2 * size + len(pairs)
-        cells = rows.mapInPandas(run, "duration double, s array<double>").groupBy("duration").agg(F.array(*[F.sum(F.get("s", i)) for i in range(width)]).alias("s"))
+        cells = rows.mapInArrow(run, "duration double, s array<double>").groupBy("duration").agg(F.array(*[F.sum(F.get("s", i)) for i in range(width)]).alias("s"))
         return cells.orderBy(F.desc("duration")).toPandas()
 
     beta = np.zeros(size)
@@ -254,10 +263,11 @@ def fit_forest(rows: DataFrame, key: str, trees: int = 36, depth: int = 4, least
     """Log-rank trees, each on about ``per_tree`` rows drawn with repeats by a hash of ``key`` and tree."""
     rows = rows.select(F.xxhash64(key).alias("k"), "x", "duration", "observed")
     share = min(1.0, per_tree / max(1, rows.count()))
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.pmod(F.xxhash64("k", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = sum((F.when(draw < share * float(c), 1).otherwise(0) for c in (0.632, 0.264, 0.08, 0.019)), F.lit(0))  # Poisson(1) tails
-    drawn = drawn.withColumn("times", times).where("times > 0")
+    # the trees that a row is drawn for are found before it is multiplied
+    draw = lambda t: F.pmod(F.xxhash64("k", t, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    times = lambda t: sum((F.when(draw(t) < share * float(c), 1).otherwise(0) for c in (0.632, 0.264, 0.08, 0.019)), F.lit(0))  # noqa: E731  Poisson(1) tails
+    asked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), times(t).alias("times"))), lambda d: d.times > 0)
+    drawn = rows.withColumn("d", F.explode(asked)).select("k", "x", "duration", "observed", "d.tree", "d.times")
 
     def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k").reset_index(drop=True)

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 def best_quality(rows: DataFrame, key: str, quality: str, order: str) -> DataFrame:
     """The row of highest quality for each key; the first in ``order`` of equal ones."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(quality), order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    best = F.min_by(F.struct(*[f"`{c}`" for c in rows.columns]), F.struct(F.col(quality).isNull(), -F.col(quality), F.col(order)))
+    return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row in ``order`` for each key; rows without a key all stay."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
     blank = F.coalesce(F.col(key), F.lit("")) == ""
-    named = rows.where(~blank).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    first = F.min_by(F.struct(*[f"`{c}`" for c in rows.columns]), F.col(order))
+    named = rows.where(~blank).groupBy(F.col(key).alias("_key")).agg(first.alias("_row")).select("_row.*")
     return named.unionByName(rows.where(blank))
 
 
@@ -41,26 +41,41 @@ def usable(rows: DataFrame, least: int = 40) -> Column:
     return F.coalesce(F.col("waiting").between(0, 3650) & F.col("event").isin(0, 1) & (F.col("quality") >= least), F.lit(False))
 
 
-def issues(rows: DataFrame) -> DataFrame:
-    """(issue, rows): the kinds of validity issues that occur; rows without a number are skipped after the first two."""
-    numeric = F.col("event").isNotNull() & F.col("waiting").isNotNull() & F.col("quality").isNotNull()
-    until = F.when(F.col("event") == 1, F.col("decided")).otherwise(F.col("snapshot"))
+def numeric(rows: DataFrame) -> Column:
+    """Whether all numbers of a row are there."""
+    return F.col("event").isNotNull() & F.col("waiting").isNotNull() & F.col("quality").isNotNull()
+
+
+def issues(rows: DataFrame, until: Column | None = None) -> DataFrame:
+    """(issue, rows): the kinds of validity issues that occur; rows without a number are skipped after the first two.
+
+    Waiting days should reach from lodgement to ``until``, or else to the decision or the snapshot.
+    """
+    numeric_ = numeric(rows)
+    until = F.when(F.col("event") == 1, F.col("decided")).otherwise(F.col("snapshot")) if until is None else until
     kinds = {
         "missing_or_invalid_lodgement_date": F.col("lodged").isNull(),
-        "invalid_numeric_field": ~numeric,
-        "invalid_event_observed": numeric & ~F.col("event").isin(0, 1),
-        "implausible_waiting_days": numeric & ~F.col("waiting").between(0, 3650),
-        "future_lodgement": numeric & (F.col("lodged") > F.col("snapshot")),
-        "decision_before_lodgement": numeric & (F.col("decided") < F.col("lodged")),
-        "event_without_decision_date": numeric & (F.col("event") == 1) & F.col("decided").isNull(),
-        "censored_with_decision_date": numeric & (F.col("event") == 0) & F.col("decided").isNotNull(),
-        "waiting_days_mismatch": numeric & (F.col("waiting") != F.datediff(until, "lodged")),
-        "status_event_mismatch": numeric & (F.col("status") != F.when(F.col("event") == 1, "granted").otherwise("pending")),
+        "invalid_numeric_field": ~numeric_,
+        "invalid_event_observed": numeric_ & ~F.col("event").isin(0, 1),
+        "implausible_waiting_days": numeric_ & ~F.col("waiting").between(0, 3650),
+        "future_lodgement": numeric_ & (F.col("lodged") > F.col("snapshot")),
+        "decision_before_lodgement": numeric_ & (F.col("decided") < F.col("lodged")),
+        "event_without_decision_date": numeric_ & (F.col("event") == 1) & F.col("decided").isNull(),
+        "censored_with_decision_date": numeric_ & (F.col("event") == 0) & F.col("decided").isNotNull(),
+        "waiting_days_mismatch": numeric_ & (F.col("waiting") != F.datediff(until, "lodged")),
+        "status_event_mismatch": numeric_ & (F.coalesce("status", F.lit("")) != F.when(F.col("event") == 1, "granted").otherwise("pending")),
     }
     counts = rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in kinds.items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("issue"), F.col(n).alias("rows")) for n in kinds])).alias("x")).select("x.*").where("rows > 0")
 
 
+def claimed_and_computed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the waiting days that are claimed and those between the dates, and whether they agree; unknown ones don't."""
+    until = F.when(F.col("event") == 1, F.col("decided")).otherwise(F.col("snapshot"))
+    out = rows.withColumn("claimed", F.col("waiting").cast("long")).withColumn("computed", F.datediff(until, "lodged").cast("long"))
+    return out.withColumn("consistent", F.coalesce(F.col("claimed") == F.col("computed"), F.lit(False)))
+
+
 def value_counts(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimension, value, row_count) of each dimension in one pass; blanks are (blank)."""
     pairs = [F.struct(F.lit(d).alias("dimension"), F.when(F.coalesce(F.col(d).cast("string"), F.lit("")) == "", "(blank)").otherwise(F.col(d).cast("string")).alias("value")) for d in dimensions]
@@ -71,9 +86,13 @@ def flag_counts(rows: DataFrame, flags: str = "quality_flags") -> DataFrame:
     return rows.select(F.explode(F.split(flags, r"\|")).alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count("*").alias("row_count"))
 
 
-def unknown_rates(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, rate): the share of all rows in which a predictor is blank or unknown, to four places."""
+def unknown_rates(rows: DataFrame, fields: list[str], counted: Column | None = None) -> DataFrame:
+    """(field, rate): the share of all rows in which a predictor is blank or unknown, to four places.
+
+    With ``counted``, blanks of other rows don't count, while the rows themselves still do.
+    """
+    counted = F.lit(True) if counted is None else counted
     blank = lambda f: F.lower(F.trim(F.coalesce(F.col(f).cast("string"), F.lit("")))).isin("", "unknown", "(blank)")
-    counts = rows.agg(F.count("*").alias("_n"), *[F.count_if(blank(f)).alias(f) for f in fields])
+    counts = rows.agg(F.count("*").alias("_n"), *[F.count_if(blank(f) & counted).alias(f) for f in fields])
     rate = lambda f: F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.round(F.col(f) / F.col("_n"), 4))
     return counts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), rate(f).alias("rate")) for f in fields])).alias("x")).select("x.*")

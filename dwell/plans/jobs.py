@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -10,13 +11,19 @@ from pyspark.sql import functions as F
 
 from dwell.functions import rules
 from dwell.operators import evaluate, flows, models, quality, survival
+from dwell.plans import training
+from dwell.plans.training import confidence, grade_of  # noqa: F401
 from dwell.sources import files
 
+# The columns of the tables and the predictors.
 CASE_COLUMNS = [
     "record_id", "duplicate_key", "source_id", "source_quality_tier", "snapshot_date", "visa_subclass", "application_status", "event_observed", "lodgement_date", "decision_date", "as_of_date",
     "waiting_days", "education_level", "study_sector", "field_of_study_group", "submit_location", "includes_partner", "is_diy", "provider_group", "record_quality_score", "quality_flags", "provenance_url",
 ]
 FLOW_COLUMNS = ["source_snapshot_date", "activity_month", "activity_type", "count", "applicant_type", "client_location", "citizenship_country", "sector", "source_resource_id", "source_last_modified", "source_file_sha256", "source_url", "extraction_method"]
+#: Strata of the curves by strata, from the finest on; the last stands for all rows.
+LEVELS = [["study_sector", "submit_location", "education_level"], ["study_sector", "submit_location"], []]
+VERSION = "dwell-survival-1"
 CATEGORIES = ["education_level", "study_sector", "submit_location", "field_of_study_group", "includes_partner", "is_diy", "provider_group"]
 NUMBERS = ["lodgement_year", "lodgement_month_sin", "lodgement_month_cos", "official_flow_available", "official_lag1_lodged_log", "official_lag1_granted_log", "official_lag1_net_per_100", "official_lag1_grant_lodged_ratio", "official_lag1_trailing_3m_lodged_log"]
 
@@ -35,7 +42,8 @@ def typed_cases(raw: DataFrame) -> DataFrame:
 
 def observations(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
     """Usable cases, the best of each duplicate key (or record id)."""
-    rows = typed_cases(files.read_csv(spark, path, CASE_COLUMNS))
+    # durations may be parts of a day here
+    rows = typed_cases(files.read_csv(spark, path, CASE_COLUMNS)).withColumn("waiting", F.expr("try_cast(waiting_days as double)"))
     rows = rows.where(quality.usable(rows, least) & F.col("lodged").isNotNull() & F.col("as_of").isNotNull())
     rows = rows.withColumn("key", F.coalesce(F.expr("nullif(duplicate_key, '')"), F.col("record_id"))).withColumn("days", F.col("waiting"))
     return quality.best_quality(rows, "key", "quality", "line_no")
@@ -75,23 +83,58 @@ def profile(spark: SparkSession, path: str) -> DataFrame:
     return counts.unionByName(flags).orderBy("dimension", F.desc("row_count"), "value")
 
 
-def audit(spark: SparkSession, path: str, train_cutoff: str = "2024-12-31", test_end: str = "2025-08-31") -> dict:
+def audit(spark: SparkSession, path: str, train_cutoff: str = "2024-12-31", test_end: str = "2025-08-31", least: int = 40) -> dict:
+    """Counts, validity, uniqueness, split sizes and findings of a case table."""
     raw = files.read_csv(spark, path, CASE_COLUMNS)
-    rows, kept = typed_cases(raw), observations(spark, path)
+    header = spark.read.csv(path, header=True).columns if files.exists(spark, path) else []
+    rows = typed_cases(raw).cache()
     total = raw.count()
-    groups = quality.duplicate_counts(raw, "duplicate_key").first()
-    ids = quality.duplicate_counts(raw, "record_id").first()
-    split = kept.agg(F.count("*").alias("n"), F.count_if(F.col("lodged") <= train_cutoff).alias("train"), F.count_if((F.col("lodged") > train_cutoff) & (F.col("lodged") <= test_end)).alias("test")).first()
-    usable = rows.where(quality.usable(rows) & F.col("lodged").isNotNull() & F.col("as_of").isNotNull()).count()
-    return {
-        "rows": total, "status_counts": {r["application_status"]: r["count"] for r in raw.groupBy("application_status").count().collect()},
+    groups, ids = quality.duplicate_counts(raw, "duplicate_key").first(), quality.duplicate_counts(raw, "record_id").first()
+    candidates = rows.where(quality.usable(rows, least) & F.col("lodged").isNotNull() & F.col("as_of").isNotNull()).withColumn("key", F.coalesce(F.expr("nullif(duplicate_key, '')"), F.col("record_id")))
+    kept = quality.best_quality(candidates, "key", "quality", "line_no")
+    test = (F.col("lodged") > train_cutoff) & (F.col("lodged") <= test_end)
+    split = kept.agg(F.count("*").alias("n"), F.count_if(F.col("lodged") <= train_cutoff).alias("train"), F.count_if(test).alias("test"), F.count_if(test & (F.col("event") == 1)).alias("events")).first()
+    good = rows.where(quality.numeric(rows)).agg(F.count_if(F.col("quality") < least).alias("low"), F.count_if(F.col("quality") >= least).alias("good")).first()
+    counts = lambda c: {r["v"]: r["count"] for r in raw.groupBy(F.coalesce(c, F.lit("(blank)")).alias("v")).count().collect()}
+    invalid = {r.issue: r.rows for r in quality.issues(rows, F.col("as_of")).collect()}
+    report = {
+        "dataset": path, "rows": total, "columns": len(header), "column_names": header, "status_counts": counts("application_status"), "source_counts": counts("source_id"),
         "lodgement_year_counts": {str(r["y"]): r["count"] for r in rows.where("lodged is not null").groupBy(F.year("lodged").alias("y")).count().orderBy("y").collect()},
+        "quality": {"below_threshold": good.low, "usable_quality": good.good, "quality_threshold": least, "usable_rate": round(good.good / total, 4) if total else 0.0},
         "uniqueness": {"duplicate_record_id_groups": ids.groups, "duplicate_record_id_rows": ids.rows_in_groups, "duplicate_timeline_groups": groups.groups, "duplicate_timeline_rows": groups.rows_in_groups,
-                       "exact_duplicate_rows_beyond_first": quality.exact_repeats(raw).first()[0], "rows_after_quality_and_dedup": split.n, "collapsed_rows": usable - split.n},
-        "validity_issue_counts": {r.issue: r.rows for r in quality.issues(rows.withColumn("snapshot", F.col("as_of")).withColumn("decided", F.col("decided"))).collect()},
-        "predictor_unknown_rates": {r.field: r.rate for r in quality.unknown_rates(raw, CATEGORIES).collect()},
-        "temporal_split": {"training_rows": split.train, "test_rows": split.test},
+                       "exact_duplicate_rows_beyond_first": quality.exact_repeats(raw).first()[0], "rows_after_quality_and_dedup": split.n, "collapsed_rows": candidates.count() - split.n},
+        "validity_issue_counts": invalid,
+        "predictor_unknown_rates": {r.field: r.rate for r in quality.unknown_rates(rows, CATEGORIES, quality.numeric(rows)).collect()},
+        "temporal_split": {"train_cutoff": train_cutoff, "test_end": test_end, "training_rows": split.train, "test_rows": split.test, "test_observed_events": split.events, "test_right_censored": split.test - split.events},
     }
+    days = [r["d"] for r in raw.select(F.coalesce("snapshot_date", F.lit("")).alias("d")).distinct().orderBy("d").collect()]  # one a vintage
+    rows.unpersist()
+    return report | {"findings": findings(report, days)}
+
+
+def findings(report: dict, snapshots: list[str]) -> list[dict]:
+    """What an audit's numbers mean for training, the gravest first."""
+    unique, wrong = report["uniqueness"], report["validity_issue_counts"]
+    dates = sum(wrong.get(k, 0) for k in ("missing_or_invalid_lodgement_date", "future_lodgement", "decision_before_lodgement", "waiting_days_mismatch"))
+    out = []
+    if unique["duplicate_record_id_groups"] or dates:
+        out.append(("critical", "Keys repeat or timelines are invalid", {"duplicate_record_id_groups": unique["duplicate_record_id_groups"], "invalid_date_or_duration_rows": dates}, "Durations may count twice or be wrong."))
+    repeated = unique["duplicate_timeline_groups"]
+    out.append(("high" if repeated else "low", "Timelines may repeat", {"groups": repeated, "affected_rows": unique["duplicate_timeline_rows"], "rows_after_quality_and_dedup": unique["rows_after_quality_and_dedup"]}, "Repeated reports weigh too much unless one row a key is kept, as training does."))
+    out.append(("high", "Cases carry no citizenship", {"citizenship_column_present": "citizenship_country" in report["column_names"]}, "A model of these cases holds for no single country; official flows are context only."))
+    out.append(("high", "When a row became known is not recorded", {"source_ids": report["source_counts"], "snapshot_dates": snapshots}, "Outcomes can be censored at a cutoff, but what was known then can't be replayed."))
+    return [dict(zip(("severity", "finding", "evidence", "impact"), f)) for f in out]
+
+
+def audit_markdown(report: dict) -> str:
+    """An audit report as a Markdown text."""
+    split, unique = report["temporal_split"], report["uniqueness"]
+    summary = {"Raw rows": report["rows"], "Rows after quality filter and dedup": unique["rows_after_quality_and_dedup"], "Groups of repeated timelines": unique["duplicate_timeline_groups"],
+               "Test window": f"{split['train_cutoff']} to {split['test_end']}", "Test rows / events / censored": f"{split['test_rows']} / {split['test_observed_events']} / {split['test_right_censored']}"}
+    parts = ["# Audit of case data", f"Dataset: `{report['dataset']}`", "## Summary", "\n".join(f"- {k}: {x}" for k, x in summary.items()), "## Findings"]
+    for f in report["findings"]:
+        parts += [f"### {f['severity'].upper()}: {f['finding']}", f["impact"], "Evidence: `" + json.dumps(f["evidence"], ensure_ascii=False, sort_keys=True) + "`"]
+    return "\n\n".join(parts) + "\n"
 
 
 def raw_features(rows: DataFrame, features: DataFrame) -> DataFrame:
@@ -105,42 +148,27 @@ def raw_features(rows: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def load_flows(spark: SparkSession, path: str) -> DataFrame:
-    rows = files.read_csv(spark, path, FLOW_COLUMNS).select("activity_month", "activity_type", F.expr("try_cast(`count` as double)").alias("count"))
-    return flows.flow_features(rows.where("`count` is not null"))
+    """Features of the flows in a CSV file, or in the folder that ``refresh`` publishes to; none if there's neither."""
+    published = f"{path}/current"
+    rows = spark.read.parquet(published) if files.exists(spark, published) else files.read_csv(spark, path, FLOW_COLUMNS)
+    rows = rows.withColumn("line_no", F.monotonically_increasing_id()).select("line_no", "activity_month", "activity_type", F.col("count").try_cast("double").alias("count"))
+    return flows.flow_features(rows.where("`count` is not null"), "line_no")
 
 
-def confidence(n: int, c: float, brier: float, coverage: float) -> int:
-    clip = lambda x: min(1.0, max(0.0, x))
-    score = 25 * min(1, n / 1000) + 30 * clip((c - 0.5) / 0.2) + 25 * clip(1 - brier / 0.25) + 20 * clip(1 - abs(coverage - 0.8) / 0.8) - 20
-    return int(round(max(0.0, score)))
+def train(spark: SparkSession, cases: str, flow_path: str, output: str, cutoff: str = "2024-12-31", test_end: str = "2025-08-31", calibration_end: str = "2025-04-30", least: tuple[int, int, int] = (100, 50, 25)) -> dict:
+    """Train the five models before the cutoff, rank and evaluate them after it, and write the artifact.
 
-
-def train(spark: SparkSession, cases: str, flow_path: str, output: str, cutoff: str = "2024-12-31", test_end: str = "2025-08-31") -> dict:
-    """Fit the Weibull model before the cutoff, score it after, and write the artifact."""
+    Fewer rows than ``least`` to train, to test and in each test window are an error.
+    """
     split = evaluate.time_split(observations(spark, cases), cutoff, test_end)
-    rows = raw_features(split, load_flows(spark, flow_path)).cache()
-    sizes = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
-    if sizes.get("train", 0) < 100 or sizes.get("test", 0) < 50:
-        raise ValueError(f"too few rows to train and test: {sizes}")
-    encoder = models.FeatureEncoder.fit(rows.where("split = 'train'"), CATEGORIES, NUMBERS)
-    theta = models.fit_weibull(encoder.transform(rows.where("split = 'train'")), len(encoder.names))
-    cells = models.weibull_columns(theta, F.lit(0.0), ahead=(90, 180, 365), shares=(0.1, 0.5, 0.9))
-    test = encoder.transform(rows.where("split = 'test'")).select("duration", "observed", *[c.alias(n) for n, c in cells.items()]).withColumn("risk", -F.round("p50", 1))
-    scores = evaluate.interval_scores(test).first()
-    c_index = evaluate.concordance(test, "duration", "observed", "risk").first().harrell_c_index
-    brier = test.agg(F.avg(F.pow(F.col("within_180") - F.when((F.col("observed") == 1) & (F.col("duration") <= 180), 1.0).otherwise(0.0), F.lit(2)))).first()[0]
-    sure = confidence(sizes["train"], c_index or 0.5, brier, scores.coverage or 0.0)
-    state = {"engine": "weibull_aft", "feature_encoder": encoder.to_dict(), "parameters": theta.tolist(), "rows": sizes, "confidence": {"score": sure, "grade": grade_of(sure)},
-             "evaluation": {"harrell_c_index": c_index, "brier_180": brier, "median_absolute_error": scores.median_absolute_error, "coverage": scores.coverage}}
+    rows = raw_features(split, load_flows(spark, flow_path))
+    state = training.train_baselines(rows, CATEGORIES, NUMBERS, LEVELS, calibration_end, "record_id", least)
+    digests = {n: files.file_digests(spark, p).orderBy("path").first()["sha256"] for n, p in (("case_dataset_sha256", cases), ("official_monthly_flows_sha256", flow_path)) if p.endswith(".csv") and files.exists(spark, p)}
+    state = {"model_version": VERSION, "trained_at": datetime.now(ZoneInfo("UTC")).replace(microsecond=0).isoformat()} | digests | state
     files.write_artifact(spark, output, state)
-    rows.unpersist()
     return state
 
 
-def grade_of(score: int) -> str:
-    return "high" if score >= 75 else "moderate" if score >= 55 else "limited"
-
-
 def parse_instant(text: str, zone: str) -> datetime:
     found = datetime.fromisoformat(text.replace("Z", "+00:00"))
     return found if found.tzinfo else found.replace(tzinfo=ZoneInfo(zone))
@@ -173,19 +201,23 @@ def forecast(spark: SparkSession, state: dict, requests: list[dict], flow_path:
 def refresh(spark: SparkSession, current: DataFrame, folder: str, detected_at: str, first: str, last: str) -> int:
     """Publish a new vintage of flows: checked, compared with the one before, logged; returns its revisions.
 
-    Everything is computed before anything is written; any grain issue stops the run.
+    Everything is computed before anything is written; any issue, such as an empty table, stops the run.
+    Columns of the lineage that ``current`` lacks are null.
     """
-    wrong = flows.grain_issues(current, first, last).limit(10).collect()
+    given = [F.col(f"`{c}`") if c in current.columns else F.lit(None).cast("string").alias(c) for c in FLOW_COLUMNS]
+    current = current.select(*given).orderBy("activity_month", "activity_type").cache()
+    wrong = flows.validation_issues(current, first, last).limit(10).collect()
     if wrong:
         raise ValueError(f"flows are not valid: {[tuple(r) for r in wrong]}")
     changed = 0
     if files.exists(spark, f"{folder}/current"):
-        found = flows.revisions(current, spark.read.parquet(f"{folder}/current")).withColumn("detected_at", F.lit(detected_at))
+        found = flows.revision_log(current, spark.read.parquet(f"{folder}/current"), detected_at)
         found = spark.createDataFrame(found.collect(), found.schema)  # one row a month and type at most
         changed = found.count()
         files.append(found, f"{folder}/revisions")
-    current.write.mode("overwrite").parquet(f"{folder}/current.part")
+    current.coalesce(1).write.mode("overwrite").parquet(f"{folder}/current.part")  # a row a month and type, in their order
     fixed = spark.read.parquet(f"{folder}/current.part")
     files.write_vintage(fixed, f"{folder}/snapshots")
-    fixed.write.mode("overwrite").parquet(f"{folder}/current")
+    fixed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+    current.unpersist()
     return changed

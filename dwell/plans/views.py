@@ -22,14 +22,16 @@ def cases(spark: SparkSession, folder: str, people: bool = True) -> DataFrame:
     t = lambda n: read_table(spark, folder, n)
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("lodged"))
     shipped = t("lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("shipped"))
-    decided = shipped.join(orders.select("o_orderkey", "lodged"), F.col("l_orderkey") == F.col("o_orderkey")).where("shipped >= lodged").groupBy("o_orderkey").agg(F.min("shipped").alias("decided"))
+    # orders and line items meet once; the aggregate needs no further shuffle
+    meet = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("shipped") >= F.col("lodged"))
+    dated = orders.join(shipped, meet, "left").groupBy(*orders.columns).agg(F.min("shipped").alias("decided"))
     until = F.coalesce("decided", F.lit(SNAPSHOT).cast("date"))
     dates = ["lodged", "decided", until.alias("as_of"), F.col("decided").isNotNull().cast("int").alias("event"), F.datediff(until, "lodged").alias("days")]
     if not people:
-        return orders.join(decided, "o_orderkey", "left").select(F.col("o_orderkey").alias("case_id"), *dates, F.col("o_totalprice").alias("price"))
+        return dated.select(F.col("o_orderkey").alias("case_id"), *dates, F.col("o_totalprice").alias("price"))
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     people = t("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    whole = orders.join(decided, "o_orderkey", "left").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    whole = dated.join(people, F.col("o_custkey") == F.col("c_custkey"))
     c = whole.select(
         F.col("o_orderkey").alias("case_id"), *dates,
         F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"),

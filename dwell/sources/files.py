@@ -37,11 +37,16 @@ def read_artifact(spark: SparkSession, path: str) -> dict:
 
 def write_artifact(spark: SparkSession, path: str, state: dict) -> None:
     """One JSON document, put in place by a rename."""
+    write_text(spark, path, json.dumps(state, ensure_ascii=False, sort_keys=True, indent=2))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One text file, put in place by a rename."""
     jvm = spark._jvm
     target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(part, True)
-    out.write(bytearray(json.dumps(state, ensure_ascii=False, sort_keys=True, indent=2).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     fs.delete(target, False)
     fs.rename(part, target)

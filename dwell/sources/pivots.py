@@ -57,6 +57,26 @@ def snapshot_date(fiscal_year: Column, name: Column) -> Column:
     return F.coalesce(F.max(reach), F.max(F.try_to_date(F.regexp_extract(name, r"at\s+(\d{4}-\d{2}-\d{2})", 1))))
 
 
+def snapshot_of(cells: DataFrame, name: str = "path") -> str:
+    """The snapshot date of read_pivots rows as text; an error if neither cells nor names give one."""
+    day = cells.agg(snapshot_date(F.col("fiscal_year"), F.col(name)).alias("day")).first()["day"]
+    if day is None:
+        raise ValueError("the workbook doesn't say how far its numbers reach")
+    return str(day)
+
+
+#: What a published flow says of itself.
+LINEAGE = {"applicant_type": "Primary", "client_location": "Outside Australia", "citizenship_country": "China, Peoples Republic of (excl SARs)", "sector": "Postgraduate Research Sector", "extraction_method": "pivot cache records"}
+
+
+def monthly_flows(cells: DataFrame, activity: str, resource: dict[str, str], first: str = "2015-01") -> DataFrame:
+    """The published rows of one workbook: its monthly totals up to its snapshot, with their lineage."""
+    day = snapshot_of(cells)
+    sha = F.lit(cells.agg(F.max("sha256").alias("s")).first()["s"])
+    told = {n: F.lit(x) for n, x in LINEAGE.items()} | {"source_resource_id": F.lit(resource.get("resource_id", "")), "source_last_modified": F.lit(resource.get("last_modified", "")), "source_url": F.lit(resource.get("url", "")), "source_file_sha256": sha}
+    return monthly_totals(cells, first, day[:7]).withColumns({"activity_type": F.lit(activity), "source_snapshot_date": F.lit(day)} | told)
+
+
 def monthly_totals(cells: DataFrame, first: str = "2015-01", last: str | None = None) -> DataFrame:
     """(activity_month, count): whole numbers summed for calendar months from ``first`` to ``last``."""
     number = F.regexp_extract("month", r"(\d+)", 1).cast("int")

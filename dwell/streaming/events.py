@@ -34,10 +34,17 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", time: str = "ts"
     return events.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.min(time).alias("first_ts"), F.count("*").alias("n")).drop("w")
 
 
-def daily_counts_of(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily counts of all events that are there now, run as a stream to its end."""
-    name = f"daily_{uuid.uuid4().hex}"
+def daily_counts_of(spark: SparkSession, folder: str, store: str | None = None) -> DataFrame:
+    """Daily counts of all events that are there now, run as a stream to its end.
+
+    Each batch's changed days are appended to a table of files under ``store`` (by default the
+    warehouse), so nothing is gathered in the driver; of a day the last batch's counts stand.
+    """
+    place = f"{store or spark.conf.get('spark.sql.warehouse.dir')}/daily_{uuid.uuid4().hex}"
     counted = daily_counts(open_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")))
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    write = lambda rows, batch: rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{place}/rows")
+    run = counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema("day date, event_type string, n long, total double, batch long").parquet(f"{place}/rows")
+    last = F.max_by(F.struct("n", "total"), "batch")
+    return rows.groupBy("day", "event_type").agg(last.alias("x")).select("day", "event_type", "x.*")
