@@ -23,6 +23,7 @@ def cases(spark: SparkSession, folder: str, people: bool = True) -> DataFrame:
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("lodged"))
     shipped = t("lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("shipped"))
     # orders and line items meet once; the aggregate needs no further shuffle
+    orders = orders if people else orders.select("o_orderkey", "lodged", "o_totalprice")
     meet = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("shipped") >= F.col("lodged"))
     dated = orders.join(shipped, meet, "left").groupBy(*orders.columns).agg(F.min("shipped").alias("decided"))
     until = F.coalesce("decided", F.lit(SNAPSHOT).cast("date"))
