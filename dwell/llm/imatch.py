@@ -20,6 +20,8 @@ SUBSETS, SHARES = 8, (3, 4, 5, 6, 7, 8, 9, 10)
 #: A subset is drawn from all terms of a text if fewer of them than this share are in the lexicon. The
 #: shares differ, so that two near copies fall on different sides of few.
 FEW = tuple(1 / 8 + (j * len(SHARES) + r) / (8 * SUBSETS * len(SHARES)) for r in range(len(SHARES)) for j in range(SUBSETS))
+#: Places of a fingerprint that are filled at least, so that those of very short texts have 64 bits.
+LEAST = 4
 _FLUSH, _CACHE = 400_000, 300_000
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&"
 _FIRST = -(1 << 63)
@@ -75,8 +77,8 @@ def lexicon(documents: DataFrame, low: float = 0.001, high: float = 0.1) -> np.n
     return np.sort(np.array([r["term"] for r in kept.toLocalIterator()], np.int64).view(np.uint64))
 
 
-def _short(some: list[bytes]) -> int:
-    return xxhash.xxh32_intdigest(b" ".join(some)) % 0xFFFF + 1
+def _short(some: list[bytes], seed: int = 0) -> int:
+    return xxhash.xxh32_intdigest(b" ".join(some), seed) % 0xFFFF + 1
 
 
 class Fingerprinter:
@@ -101,8 +103,8 @@ class Fingerprinter:
         """A 16-bit hash of each subset's terms of the text in order, 0 for none.
 
         A text with few terms in the lexicon, such as a copy in a group so large that its terms are over
-        the band, or one of rare words alone, has its subsets drawn from all its terms. A text without
-        any term in a subset even so gets the hash of all its terms in every subset.
+        the band, or one of rare words alone, has its subsets drawn from all its terms. A text with terms
+        in fewer than LEAST subsets even so gets other hashes of all its terms in the first of the others.
         """
         seen = self.seen
         if len(seen) > _CACHE:
@@ -125,10 +127,11 @@ class Fingerprinter:
                 for j in self.subsets(xxhash.xxh64_intdigest(t)):
                     whole_parts[j].append(t)
             parts = [w if known < few * len(all_terms) else p for p, w, few in zip(parts, whole_parts, FEW)]
-        if not any(parts):
-            whole = _short(all_terms)
-            return (whole,) * len(parts)
-        return tuple(_short(p) if p else 0 for p in parts)
+        marks = [_short(p) if p else 0 for p in parts]
+        bare = [j for j, mark in enumerate(marks) if not mark]
+        for j in bare[: max(0, LEAST - len(marks) + len(bare))]:
+            marks[j] = _short(all_terms, j + 1)
+        return tuple(marks)
 
 
 def likeness(a: tuple[int, ...], b: tuple[int, ...]) -> float:

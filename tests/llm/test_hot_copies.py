@@ -31,3 +31,12 @@ def test_near_copies_around_the_share_of_known_terms_stay_alike():
         fewer = text[:]
         fewer.remove(rng.choice(known[:n]))
         assert imatch.likeness(make(" ".join(text).encode()), make(" ".join(fewer).encode())) > 0.4, n
+
+
+def test_short_texts_without_lexicon_terms_dont_collide():
+    make = imatch.Fingerprinter(np.empty(0, np.uint64))
+    for n in (1, 2):
+        marks = {make(" ".join(f"x{i}_{k}" for k in range(n)).encode()) for i in range(100_000)}
+        assert len(marks) == 100_000
+    assert make(b"") == make(b" ") and sum(map(bool, make(b""))) == imatch.LEAST
+    assert imatch.likeness(make(b"x1"), make(b"x2")) == 0.0
