@@ -130,3 +130,9 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], key: list[str], most: int):
             held = None
     if held is not None:
         yield held, np.array([0]), np.array([len(held[key[0]])]), "whole"
+
+
+def offsets(column: pa.Array) -> np.ndarray:
+    """The first byte of each text of a string column, and the end."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)

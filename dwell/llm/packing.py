@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, tidy
-from dwell.llm.tokens import WordEncoder, offsets, slices, spans
+from dwell.llm.common import batch, offsets, tidy
+from dwell.llm.tokens import WordEncoder, slices, spans
 
 #: Bytes of text in a shard of the index.
 SHARD_BYTES = 8 << 20

@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, checkpointed, tidy
+from dwell.llm.common import batch, checkpointed, offsets, tidy
+from dwell.llm.merges import Merges
 
 #: Parts of words in each generation of a task's cache, and the longest part that is kept.
 CACHE_WORDS, CACHE_LENGTH = 200_000, 64
@@ -23,7 +24,7 @@ _MARKS = ".,;:!?%*#$&|)"
 
 @lru_cache(2)
 def _load(path: str):
-    """One tokenizer for each file and worker, and whether each id ends a word."""
+    """One tokenizer for each file and worker, whether each id ends a word, and its merges if they can be taken at once."""
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,19 +33,20 @@ def _load(path: str):
     word_end = np.zeros(max(vocabulary.values()) + 1, bool)
     if end := tokenizer.model.end_of_word_suffix:
         word_end[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
-    return tokenizer, word_end
+    return tokenizer, word_end, Merges.of(tokenizer)
 
 
 class WordEncoder:
     """Ids of whole texts of a tokenizer that never joins over ASCII white space, by distinct words.
 
     Words of a column are made distinct first. Letters and the marks after them are pieces of their own in
-    any case, so a word is cut there and its parts are shared by words; parts that aren't cached are
-    encoded as one text. Two generations bound the cache, which lives as long as its task.
+    any case, so a word is cut there and its parts are shared by words. Words of Latin letters are merged
+    together (``Merges``); other parts that aren't cached are encoded as one text by the tokenizer. Two
+    generations bound the cache, which lives as long as its task.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.word_end = _load(path)
+        self.tokenizer, self.word_end, self.merges = _load(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -98,21 +100,29 @@ class WordEncoder:
             on = np.flatnonzero(letters & (tail >= k))
             number[on] = number[on] << 8 | data[edges[on + 1] - tail[on] + k - 1]
         whole = pc.ascii_lower(core.filter(pa.array(letters))).dictionary_encode()
-        cores = self._known(whole.dictionary.to_pylist(), self._encode_letters)
-        single = np.fromiter(map(bool, cores), bool, len(cores))
+        names = whole.dictionary
+        fits = self.merges.fits(names) if self.merges else np.zeros(len(names), bool)
+        merged, merged_at, merged_size = self.merges.encode(names.filter(pa.array(fits))) if fits.any() else (np.empty(0, "<u4"), *np.empty((2, 0), np.int64))
+        cores = self._known(names.filter(pa.array(~fits)).to_pylist(), self._encode_letters)
+        known = np.empty(len(names), np.int64)  # the part of each name, merged ones after the others
+        known[~fits] = np.where(np.fromiter(map(bool, cores), bool, len(cores)), np.arange(len(cores)), -1)
+        known[fits] = len(cores) + np.arange(len(merged_at))
         at = np.full(len(words), -1, np.int64)  # the part that a word starts with
-        at[letters] = whole.indices.to_numpy()
-        at[letters] = np.where(single[at[letters]], at[letters], -1) if len(cores) else -1
+        at[letters] = known[whole.indices.to_numpy()]
+        n_cores = len(names)
         rest = np.flatnonzero((at < 0) & (size > 0))
         odd = self._known([" " + w for w in words.take(pa.array(rest)).to_pylist()], self._encode)
-        at[rest] = len(cores) + np.arange(len(rest))
-        names, mark = np.unique(np.where(at < len(cores), number, 0), return_inverse=True)
-        marks = self._known([" " + int(n).to_bytes(8, "big").lstrip(b"\0").decode() for n in names], self._encode)
-        parts = [*cores, *odd, *marks, b""]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
-        at[at < 0] = len(parts) - 1
-        pair = np.stack([at, len(cores) + len(odd) + mark], 1).ravel()
+        at[rest] = n_cores + np.arange(len(rest))
+        ends, mark = np.unique(np.where(at < n_cores, number, 0), return_inverse=True)
+        marks = self._known([" " + int(n).to_bytes(8, "big").lstrip(b"\0").decode() for n in ends], self._encode)
+        more = [*odd, *marks, b""]
+        sizes = [np.fromiter(map(len, some), np.int64, len(some)) // 4 for some in (cores, more)]
+        ids = [np.frombuffer(b"".join(cores), "<u4"), merged, np.frombuffer(b"".join(more), "<u4")]
+        laid = np.cumsum([0, *map(len, ids)])
+        starts = np.concatenate([np.cumsum(sizes[0]) - sizes[0], laid[1] + merged_at, laid[2] + np.cumsum(sizes[1]) - sizes[1]])
+        sizes, ids = np.concatenate([sizes[0], merged_size, sizes[1]]), np.concatenate(ids)
+        at[at < 0] = len(sizes) - 1
+        pair = np.stack([at, n_cores + len(odd) + mark], 1).ravel()
         return ids[spans(starts[pair], sizes[pair])], np.concatenate([[0], np.cumsum(sizes[pair])[1::2]])
 
     def encode_words(self, texts: pa.Array):
@@ -142,11 +152,6 @@ class WordEncoder:
         return self.encode_column(pa.array([(text or b"").decode()], pa.string()))[0].tobytes()
 
 
-def offsets(column: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-
-
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indexes of all elements of spans, one span after the other."""
     ends = np.cumsum(sizes)
