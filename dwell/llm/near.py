@@ -1,4 +1,7 @@
-"""Near-duplicate classes by exact Jaccard similarity of word shingles, found by prefix filtering."""
+"""Near-duplicate classes by exact Jaccard similarity of word shingles.
+
+SimHash links by deletion-variant signatures come first; prefix filtering finds the pairs that no signature reaches.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +17,15 @@ from pyspark.sql import functions as F
 
 from dwell.llm.common import batch, checkpointed, sorted_runs, tidy, utf8
 from dwell.llm.components import connected_components
-from dwell.llm.simhash import SEED
+from dwell.llm.simhash import SEED, near_links, spanning
 
 #: A 256-bit SimHash of SKETCH_SIZE or more shingles differs by 39 bits on average with a deviation of 6 at
 #: a similarity of 0.8, so fewer than one such pair in a thousand million is over SKETCH_BITS.
 SKETCH_SIZE, SKETCH_BITS = 32, 80
 _WORDS = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BITS = [f"b{k}" for k in range(len(_WORDS))]
+#: Differing bits of 64 up to which signatures find all pairs; at a similarity of 0.8 it is 10 on average.
+RADIUS = 7
 _KINDS = ", ".join(f"{k} long" for k in _BITS)
 #: Documents and shingles that set the order of shingles; any order gives the same classes.
 SAMPLE_DOCS, SAMPLE_SHINGLES = 20_000, 50_000
@@ -101,12 +106,12 @@ def _source(documents: DataFrame):
 
 
 def _keys(batches):
-    """(key, print, n, b0 to b3) for each shingle of the prefixes."""
+    """(key, class, n, b0 to b3) for each shingle of the prefixes."""
     for b in batches:
         lists = [np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]
         times = [len(x) for x in lists]
         keys = np.concatenate([np.empty(0, np.int64), *lists])
-        rest = {name: pa.array(np.repeat(b.column(name).to_numpy(), times)) for name in ("print", "n", *_BITS)}
+        rest = {name: pa.array(np.repeat(b.column(name).to_numpy(), times)) for name in ("class", "n", *_BITS)}
         yield batch(key=pa.array(keys), **rest)
 
 
@@ -118,28 +123,14 @@ def _alike(bits, n, rows, similarity: float) -> np.ndarray:
     return (least >= similarity * np.maximum(a, b) - 1e-6) & ((apart <= SKETCH_BITS) | (least < SKETCH_SIZE))
 
 
-def _spanning(n: int, pairs):
-    """Of (a, b) arrays of linked rows, the links that join two parts of ``n`` rows."""
-    label, found_a, found_b = np.arange(n), [], []
-    for a, b in pairs:
-        while True:
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                break
-            hi, lo = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
-            first = np.unique(hi, return_index=True)[1]
-            found_a.append(a[first])
-            found_b.append(b[first])
-            label[hi[first]] = lo[first]
-            while not np.array_equal(label, up := label[label]):
-                label = up
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+def _joined(classes: np.ndarray) -> np.ndarray:
+    """The first row of each row's class."""
+    _, first, number = np.unique(classes, return_index=True, return_inverse=True)
+    return first[number]
 
 
 def _candidates(similarity: float):
-    """Pairs (print, other) that span the possible pairs of each run, and all of a run of over PIECE rows."""
+    """Pairs (class, other) that span the possible pairs of each run, and all of a run of over PIECE rows."""
 
     def possible(bits, n):
         for at in range(0, len(n), 256):
@@ -149,22 +140,23 @@ def _candidates(similarity: float):
             yield a[a < b], b[a < b]
 
     def run(batches):
-        head = (None, None)  # key and first row of a run that comes in pieces
+        head = (None, None)  # key and first class of a run that comes in pieces
         for cols, starts, ends, state in sorted_runs(batches, ["key"], PIECE):
-            prints, n = cols["print"], cols["n"]
+            classes, n = cols["class"], cols["n"]
             bits = np.stack([cols[k] for k in _BITS], 1).view(np.uint64)
             pairs_a, pairs_b = [], []
             for s, e in zip(starts, ends):
                 if state == "more":
-                    head = head if head[0] == cols["key"][s] else (cols["key"][s], prints[s])
-                    pairs_a.append(prints[s:e])
-                    pairs_b.append(np.full(e - s, head[1]))
-                elif e - s > 1:
-                    a, b = _spanning(e - s, possible(bits[s:e], n[s:e]))
-                    pairs_a.append(prints[s:e][a])
-                    pairs_b.append(prints[s:e][b])
+                    head = head if head[0] == cols["key"][s] else (cols["key"][s], classes[s])
+                    some = np.unique(classes[s:e])
+                    pairs_a.append(some)
+                    pairs_b.append(np.full(len(some), head[1]))
+                elif classes[s] != classes[e - 1]:
+                    a, b, _ = spanning(e - s, possible(bits[s:e], n[s:e]), _joined(classes[s:e]))
+                    pairs_a.append(classes[s:e][a])
+                    pairs_b.append(classes[s:e][b])
             if pairs_a:
-                yield batch(print=pa.array(np.concatenate(pairs_a)), other=pa.array(np.concatenate(pairs_b)))
+                yield batch(**{"class": pa.array(np.concatenate(pairs_a)), "other": pa.array(np.concatenate(pairs_b))})
 
     return run
 
@@ -199,46 +191,59 @@ def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(similarity: float):
-    """Links (a, b) that span the linked pairs of each run, which holds one block of a family or two."""
+    """(a, b) for each class that pairs in a run link to another: the class and the one of the first such row.
+
+    A run holds one block of a family or two.
+    """
     share = Fraction(str(similarity))
 
     def run(batches):
         for cols, starts, ends, _ in sorted_runs(batches, ["root", "i", "j"], 1 << 62):
             found_a, found_b = [], []
             for s, e in zip(starts, ends):
-                if e - s < 2:
+                classes = cols["class"][s:e]
+                if (classes == classes[0]).all():
                     continue
                 sets = [np.frombuffer(x, np.uint64) for x in cols["h"][s:e]]
                 same, n = _common_counts(sets), np.array([len(x) for x in sets])
                 near = (same > 0) & (same * share.denominator >= share.numerator * (n[:, None] + n[None] - same))
-                a, b = _spanning(e - s, [np.nonzero(near)])
-                found_a.append(cols["print"][s:e][a])
-                found_b.append(cols["print"][s:e][b])
+                own = _joined(classes)
+                part = spanning(e - s, [np.nonzero(near)], own)[2]
+                moved = np.flatnonzero((own == np.arange(e - s)) & (part != own))
+                found_a.append(classes[moved])
+                found_b.append(classes[part[moved]])
             if found_a:
                 yield batch(a=pa.array(np.concatenate(found_a)), b=pa.array(np.concatenate(found_b)))
 
     return run
 
 
-def _family_links(families: DataFrame, sets: DataFrame, documents: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that span all pairs of each family at the similarity.
+def _family_links(families: DataFrame, sets: DataFrame, documents: DataFrame, width: int, similarity: float, star: bool = False) -> DataFrame:
+    """Links (a, b) of classes that span the pairs of each family at the similarity.
 
     A large family is dealt to blocks, and each two of them meet in a task with their whole shingle sets.
+    With ``star`` each block meets only the set of the root, the smallest print, so rows are linear but
+    pairs between blocks are left; if all classes are prints, each a has one b then, which is no a.
     """
-    sized = families.join(sets.select(F.col("print").alias("node"), "source", "n"), "node")
+    sized = families.join(sets.select(F.col("print").alias("node"), "source", "class", "n"), "node")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     large = checkpointed(sized.groupBy("root").agg(parts.alias("parts")).where("parts > 1"))
-    asked = sized.join(large, "root", "left").select("source", F.col("node").alias("print"), "root", F.coalesce("parts", F.lit(1)).alias("parts"))
+    asked = sized.join(large, "root", "left").select("source", F.col("node").alias("print"), "root", "class", F.coalesce("parts", F.lit(1)).alias("parts"))
     texts = documents.select(_source(documents).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
     def read(batches):
         rows, size = [], 0
         for b in batches:
-            for root, print_, parts, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), utf8(b.column(3))):
+            named = [b.column(k).to_pylist() for k in range(4)]
+            for root, print_, class_, parts, text in zip(*named, utf8(b.column(4))):
                 h = shingles(text, width).tobytes()
                 own = print_ % parts
-                for k in range(parts):
-                    rows.append((root, min(own, k), max(own, k), print_, h))
+                if star:
+                    met = [(k, k) for k in range(parts)] if print_ == root else [(own, own)]
+                else:
+                    met = [(min(own, k), max(own, k)) for k in range(parts)]
+                for i, j in met:
+                    rows.append((root, i, j, print_, class_, h))
                     size += len(h)
                     if size > 16 << 20:
                         yield _family_rows(rows)
@@ -246,15 +251,31 @@ def _family_links(families: DataFrame, sets: DataFrame, documents: DataFrame, wi
         if rows:
             yield _family_rows(rows)
 
-    found = texts.join(asked, "source").dropDuplicates(["print"]).select("root", "print", "parts", "text")
-    found = found.mapInArrow(tidy(read), "root long, i long, j long, print long, h binary")
+    found = texts.join(asked, "source").dropDuplicates(["print"]).select("root", "print", "class", "parts", "text")
+    found = found.mapInArrow(tidy(read), "root long, i long, j long, print long, class long, h binary")
     met = found.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "print")
     return checkpointed(met.mapInArrow(tidy(_links(similarity)), "a long, b long"))
 
 
 def _family_rows(rows: list[tuple]) -> pa.RecordBatch:
-    root, i, j, print_, h = zip(*rows)
-    return batch(root=pa.array(root, pa.int64()), i=pa.array(i, pa.int64()), j=pa.array(j, pa.int64()), print=pa.array(print_, pa.int64()), h=pa.array(h, pa.binary()))
+    *numbers, h = zip(*rows)
+    return batch(**{k: pa.array(x, pa.int64()) for k, x in zip(("root", "i", "j", "print", "class"), numbers)}, h=pa.array(h, pa.binary()))
+
+
+def _signed_families(sets: DataFrame) -> DataFrame:
+    """(node, root) of the sets in families of two or more; root is the smallest.
+
+    A family is what has the same fingerprint b0, or leads to the same one in two steps to the smallest
+    that it has a link to within RADIUS bits.
+    """
+    prints = sets.where("n > 0").select("print", F.col("b0").alias("bits"))
+    links = near_links(prints, RADIUS)
+    both = links.union(links.select("other", "bits"))
+    steps = checkpointed(both.groupBy("bits").agg(F.min("other").alias("least")).where("least < bits"))
+    ends = steps.join(steps.select(F.col("bits").alias("least"), F.col("least").alias("end")), "least", "left").select("bits", F.coalesce("end", "least").alias("end"))
+    named = checkpointed(prints.join(ends, "bits", "left").select("print", F.coalesce("end", "bits").alias("family")))
+    first = named.groupBy("family").agg(F.min("print").alias("root"), F.count("*").alias("rows")).where("rows > 1")
+    return named.join(first, "family").select(F.col("print").alias("node"), "root")
 
 
 def similar_classes(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -265,23 +286,34 @@ def similar_classes(documents: DataFrame, width: int = 5, similarity: float = 0.
     and null and blank texts are one class. component_id is the smallest doc_id of the class, null if it
     has none; source is the hash of the row's text.
 
-    Two such sets share a shingle among the first n - ceil(similarity * n) + 1 of each in any common
-    order, so texts meet by these; an order with frequent shingles last keeps runs short. What size and
-    sketch leave possible makes up families: each run gives links that span its possible pairs, and the
-    families are their components, so no link leaves a family. Whole shingle sets are compared within
-    families, block by block; only links that join two parts of a block leave a task. Comparisons grow
-    with the square of a family, rows with the square over a block's size.
+    Texts whose SimHashes are within RADIUS bits meet by deletion-variant signatures, as in op1 with more
+    and smaller segments. They make up families in which whole shingle sets are compared, so that what
+    is linked is linked rightly; the first classes are the linked parts of families.
+
+    A SimHash can't reach all pairs at a similarity, so the pairs between these classes are completed
+    exactly. Two linked sets share a shingle among the first n - ceil(similarity * n) + 1 of each in any
+    common order, so texts meet by these; an order with frequent shingles last keeps runs short. What
+    size and sketch leave possible between two classes makes up families of classes: each run gives links
+    that span its possible pairs, and the families are their components, so no link leaves a family.
+    Whole shingle sets are compared within families, block by block; only links that join two parts of a
+    block leave a task. Comparisons grow with the square of such a family, rows with the square over a
+    block's size; a class that meets no other is in none.
     """
     marked = checkpointed(_marked(documents, width, similarity))
-    sets = marked.groupBy("print").agg(F.min("source").alias("source"), F.min("doc_id").alias("first_id"), *[F.max(k).alias(k) for k in _BITS], F.max("n").alias("n"), F.max("prefix").alias("prefix"))
+    sets = marked.groupBy("print").agg(F.min("source").alias("source"), F.min("doc_id").alias("first_id"), *[F.max(k).alias(k) for k in _BITS], F.max("n").alias("n"))
     sets = checkpointed(sets)
-    kinds = f"key long, print long, n long, {_KINDS}"
-    keyed = sets.select("prefix", "print", "n", *_BITS).mapInArrow(tidy(_keys), kinds)
-    met = keyed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(tidy(_candidates(similarity)), "print long, other long")
-    families = connected_components(met, "print", "other")
-    links = _family_links(families, sets, documents, width, similarity)
+    own = sets.withColumn("class", F.col("print"))
+    signed = _family_links(_signed_families(sets), own, documents, width, similarity, star=True).withColumnRenamed("a", "print")
+    sets = checkpointed(sets.join(signed, "print", "left").withColumn("class", F.coalesce("b", "print")).drop("b"))
+    prefixes = marked.groupBy("print").agg(F.max("prefix").alias("prefix")).join(sets, "print")
+    kinds = f"key long, class long, n long, {_KINDS}"
+    keyed = prefixes.select("prefix", "class", "n", *_BITS).mapInArrow(tidy(_keys), kinds)
+    met = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(tidy(_candidates(similarity)), "class long, other long")
+    families = connected_components(met, "class", "other").withColumnRenamed("node", "class")
+    members = sets.select(F.col("print").alias("node"), "class").join(families, "class").select("node", "root")
+    links = _family_links(members, sets, documents, width, similarity)
     roots = connected_components(links, "a", "b")
-    classed = sets.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first_id", F.coalesce("root", "print").alias("class_print"))
+    classed = sets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("print", "first_id", F.coalesce("root", "class").alias("class_print"))
     least = classed.groupBy("class_print").agg(F.min("first_id").alias("component_id"))
     classed = classed.join(checkpointed(least), "class_print").select("print", "class_print", "component_id")
     return marked.select("doc_id", "source", "print").join(checkpointed(classed), "print").select("doc_id", "source", "class_print", "component_id")

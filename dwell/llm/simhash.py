@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from functools import reduce
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwell.llm.common import batch, checkpointed, sorted_runs, utf8
+from dwell.llm.common import batch, checkpointed, sorted_runs, tidy, utf8
 from dwell.llm.components import connected_components
 
 SEED = 42
 #: Runs of more fingerprints than this under one signature are signed again on their other segment.
 LARGE_RUN = 4096
+#: Runs of up to this many fingerprints are compared together, step by step.
+SHORT_RUN = 32
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> bytes:
@@ -46,22 +49,13 @@ def with_fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits long")
 
 
-def _links(values: np.ndarray, groups: np.ndarray | None, radius: int):
-    """Spanning links of the fingerprints of one run; with ``groups`` only across its two halves."""
-    n = len(values)
-    if groups is None:
-        left = right = np.arange(n)
-    else:
-        left, right = np.flatnonzero(~groups), np.flatnonzero(groups)
-    label = np.arange(n)
-    step = max(1, (1 << 20) // max(1, len(right)))
-    pairs_a, pairs_b = [], []
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        near = np.bitwise_count(values[rows, None] ^ values[None, right]) <= radius
-        a, b = np.nonzero(near)
-        a, b = rows[a], right[b]
-        # only links that join two parts are kept, so the output stays linear in the run
+def spanning(n: int, pairs, label: np.ndarray | None = None):
+    """Of (a, b) arrays of linked rows, the links that join two parts of ``n`` rows, and each row's part.
+
+    A part is named by its first row; ``label`` names those that are joined already.
+    """
+    label, found_a, found_b = np.arange(n) if label is None else label.copy(), [], []
+    for a, b in pairs:
         while True:
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
@@ -69,14 +63,50 @@ def _links(values: np.ndarray, groups: np.ndarray | None, radius: int):
                 break
             hi, lo = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
             first = np.unique(hi, return_index=True)[1]
-            pairs_a.append(a[first])
-            pairs_b.append(b[first])
+            found_a.append(a[first])
+            found_b.append(b[first])
             label[hi[first]] = lo[first]
             while not np.array_equal(label, up := label[label]):
                 label = up
-    if not pairs_a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return values[np.concatenate(pairs_a)], values[np.concatenate(pairs_b)]
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b]), label
+
+
+def _links(values: np.ndarray, groups: np.ndarray | None, radius: int):
+    """Spanning links of the fingerprints of one run; with ``groups`` only across its two halves."""
+    if groups is None:
+        left = right = np.arange(len(values))
+    else:
+        left, right = np.flatnonzero(~groups), np.flatnonzero(groups)
+    step = max(1, (1 << 20) // max(1, len(right)))
+
+    def near():
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            a, b = np.nonzero(np.bitwise_count(values[rows, None] ^ values[None, right]) <= radius)
+            yield rows[a], right[b]
+
+    a, b, _ = spanning(len(values), near())
+    return values[a], values[b]
+
+
+def _short_links(bits: np.ndarray, side: np.ndarray, whole: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int):
+    """``_links`` of all runs from ``starts`` to ``ends``, each row with the row one, two, ... places on."""
+
+    def near():
+        size = ends - starts
+        rows = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+        last, step = np.repeat(ends, size), 1
+        while len(rows):
+            inside = rows + step < last
+            rows, last = rows[inside], last[inside]
+            other = rows + step
+            found = (whole[rows] | (side[rows] != side[other])) & (np.bitwise_count(bits[rows] ^ bits[other]) <= radius)
+            yield rows[found], other[found]
+            step += 1
+
+    a, b, _ = spanning(len(bits), near())
+    return bits[a], bits[b]
 
 
 def _verify(radius: int, final: bool, large_run: int):
@@ -96,65 +126,78 @@ def _verify(radius: int, final: bool, large_run: int):
                 continue
             key = cols["k2" if final else "k1"]
             place = (key >> 32) & 63  # the wildcard's place among the 64 bits
-            whole = (key >> 38) & 1  # this signature also stands for the unchanged segment
+            whole = (key >> 38) & 1 == 1  # this signature also stands for the unchanged segment
             side = (bits >> place.astype(np.uint64)) & np.uint64(1) == 1
             bounds = np.stack([starts, ends], 1).ravel()
             bounds = bounds[:-1] if ends[-1] == len(side) else bounds
             low, high = np.minimum.reduceat(side, bounds)[::2], np.maximum.reduceat(side, bounds)[::2]
-            todo = np.flatnonzero((whole[starts] == 1) | (low != high))
-            found_a, found_b = [], []
-            for i in todo:
+            todo = whole[starts] | (low != high)
+            short = ends - starts <= SHORT_RUN
+            a, b = _short_links(bits, side, whole, starts[todo & short], ends[todo & short], radius)
+            found_a, found_b = [a], [b]
+            for i in np.flatnonzero(todo & ~short):
                 s, e = starts[i], ends[i]
                 a, b = _links(bits[s:e], None if whole[s] else side[s:e], radius)
                 found_a.append(a)
                 found_b.append(b)
-            if found_a:
-                a, b = np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64)
+            a, b = np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64)
+            if len(a):
                 yield batch(k1=pa.array(np.zeros(len(a), np.int64)), bits=pa.array(a), other=pa.array(b))
 
     return run
 
 
-def _signatures(bits, first: int, size: int):
-    """Signatures of the segment of ``size`` bits from bit ``first``: one for each wildcard place.
+def _pieces(first: int, size: int, parts: int) -> list[tuple[int, int]]:
+    """(first bit, size) of ``parts`` pieces of ``size`` bits from bit ``first``, as equal as can be."""
+    return [(a, b - a) for a, b in pairwise(first + size * k // parts for k in range(parts + 1))]
+
+
+def _signatures(bits, segments: list[tuple[int, int]]):
+    """Signatures of each segment of (first bit, size): one for each wildcard place; bits go on at 0 after 63.
 
-    A signature packs the segment without the wildcard's bit, the place, and whether it is the one
-    under which equal segments meet.
+    A signature packs the segment without the wildcard's bit, the place, whether it is the one under
+    which equal segments meet, and the segment's number.
     """
-    mask = (1 << size) - 1
-    return F.array(
-        *[
-            F.shiftright(bits, first).bitwiseAND(F.lit(mask & ~(1 << i))).bitwiseOR(F.lit(((first + i) << 32) | ((i == 0) << 38) | ((first // size) << 39)))
-            for i in range(size)
-        ]
-    )
+    found = []
+    for number, (first, size) in enumerate(segments):
+        first, mask = first % 64, (1 << size) - 1
+        turned = F.shiftright(bits, first)
+        if first + size > 64:
+            turned = F.shiftrightunsigned(bits, first).bitwiseOR(F.shiftleft(bits, 64 - first))
+        for i in range(size):
+            mark = ((first + i) % 64 << 32) | ((i == 0) << 38) | (number << 39)
+            found.append(turned.bitwiseAND(F.lit(mask & ~(1 << i))).bitwiseOR(F.lit(mark)))
+    return F.array(*found)
 
 
 def near_links(fingerprints: DataFrame, radius: int = 3, large_run: int = LARGE_RUN) -> DataFrame:
-    """Links (bits, other) that span all pairs of ``fingerprints.bits`` at ``radius`` (at most 3) bits.
-
-    With at most 3 differing bits, one of two 32-bit segments differs by at most one, so the two share
-    a segment variant with one wildcard bit. Rows meet by equal variant and are verified there. A run
-    of over ``large_run`` fingerprints under one variant is signed once more on the 16-bit halves of its
-    other segment, where again one half differs by at most one bit; such a run has at most 2**18
-    distinct fingerprints, so no task holds an unbounded group. Only links that join two parts of a run
-    leave it: fewer rows than fingerprints in it, never all pairs.
+    """Links (bits, other) that span all pairs of ``fingerprints.bits`` at ``radius`` (at most 7) bits.
+
+    Of radius // 2 + 1 segments (two at least) one differs by at most one bit, so two such fingerprints
+    share a segment variant with one wildcard bit: 32-bit segments up to 3 bits, 16-bit ones for 7. Rows
+    meet by equal variant and are verified there. A run of over ``large_run`` fingerprints under one
+    variant is signed once more on as many pieces of its other bits, where again one differs by at most
+    one bit. At 3 bits such a run has at most 2**18 distinct fingerprints, so no task holds an unbounded
+    group; at 7 bits 26 bits are fixed in it. Only links that join two parts of a run leave it: fewer
+    rows than fingerprints in it, never all pairs.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("radius must be from 0 to 3")
+    if not 0 <= radius <= 7:
+        raise ValueError("radius must be from 0 to 7")
     out = "k1 long, bits long, other long"
     distinct = fingerprints.select("bits").distinct()
-    signed = distinct.select("bits", F.explode(F.concat(_signatures(F.col("bits"), 0, 32), _signatures(F.col("bits"), 32, 32))).alias("k1"))
-    met = signed.repartition("k1").sortWithinPartitions("k1", "bits").mapInArrow(_verify(radius, False, large_run), out)
+    parts = max(2, radius // 2 + 1)
+    segments = _pieces(0, 64, parts)
+    signed = distinct.select("bits", F.explode(_signatures(F.col("bits"), segments)).alias("k1"))
+    met = signed.repartition("k1").sortWithinPartitions("k1", "bits").mapInArrow(tidy(_verify(radius, False, large_run)), out)
     met = checkpointed(met)
     long = met.where("other is null")
     links = met.where("other is not null").select("bits", "other")
     if long.isEmpty():
         return links
-    halves = [F.concat(_signatures(F.col("bits"), f, 16), _signatures(F.col("bits"), f + 16, 16)) for f in (32, 0)]
-    again = long.select("bits", "k1", F.explode(F.when(F.shiftright("k1", 39) == 0, halves[0]).otherwise(halves[1])).alias("k2"))
+    rest = [long.where(F.shiftright("k1", 39) == k).select("bits", "k1", F.explode(_signatures(F.col("bits"), _pieces(first + size, 64 - size, parts))).alias("k2")) for k, (first, size) in enumerate(segments)]
+    again = reduce(DataFrame.union, rest)
     again = again.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "bits").select("k1", "k2", "bits")
-    return links.union(again.mapInArrow(_verify(radius, True, large_run), out).select("bits", "other"))
+    return links.union(again.mapInArrow(tidy(_verify(radius, True, large_run)), out).select("bits", "other"))
 
 
 def near_duplicate_classes(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
