@@ -218,17 +218,18 @@ def _links(similarity: float):
     return run
 
 
-def _family_links(families: DataFrame, sets: DataFrame, documents: DataFrame, width: int, similarity: float, star: bool = False) -> DataFrame:
-    """Links (a, b) of classes that span the pairs of each family at the similarity.
+def _parts():
+    """Blocks of a family of sets of n shingles."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+
+
+def _family_links(asked: DataFrame, documents: DataFrame, width: int, similarity: float, star: bool = False) -> DataFrame:
+    """Links (a, b) of classes that span the pairs of each family (source, print, root, class, parts) at the similarity.
 
     A large family is dealt to blocks, and each two of them meet in a task with their whole shingle sets.
     With ``star`` each block meets only the set of the root, the smallest print, so rows are linear but
     pairs between blocks are left; if all classes are prints, each a has one b then, which is no a.
     """
-    sized = families.join(sets.select(F.col("print").alias("node"), "source", "class", "n"), "node")
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    large = checkpointed(sized.groupBy("root").agg(parts.alias("parts")).where("parts > 1"))
-    asked = sized.join(large, "root", "left").select("source", F.col("node").alias("print"), "root", "class", F.coalesce("parts", F.lit(1)).alias("parts"))
     texts = documents.select(_source(documents).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
     def read(batches):
@@ -263,19 +264,25 @@ def _family_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _signed_families(sets: DataFrame) -> DataFrame:
-    """(node, root) of the sets in families of two or more; root is the smallest.
+    """(source, print, root, class, parts) of the sets in families of two or more; root is the smallest, each set a class.
 
-    A family is what has the same fingerprint b0, or leads to the same one in two steps to the smallest
-    that it has a link to within RADIUS bits.
+    A family is what has the same fingerprint b0, or the same smallest one among those that it has a link
+    to within RADIUS bits and itself.
     """
-    prints = sets.where("n > 0").select("print", F.col("b0").alias("bits"))
-    links = near_links(prints, RADIUS)
-    both = links.union(links.select("other", "bits"))
-    steps = checkpointed(both.groupBy("bits").agg(F.min("other").alias("least")).where("least < bits"))
-    ends = steps.join(steps.select(F.col("bits").alias("least"), F.col("least").alias("end")), "least", "left").select("bits", F.coalesce("end", "least").alias("end"))
-    named = checkpointed(prints.join(ends, "bits", "left").select("print", F.coalesce("end", "bits").alias("family")))
-    first = named.groupBy("family").agg(F.min("print").alias("root"), F.count("*").alias("rows")).where("rows > 1")
-    return named.join(first, "family").select(F.col("print").alias("node"), "root")
+    prints = sets.where("n > 0").select("print", "source", "n", F.col("b0").alias("bits"))
+    sides = [F.struct(F.col(a).alias("bits"), F.col(b).alias("least")) for a, b in (("bits", "other"), ("other", "bits"))]
+    least = near_links(prints, RADIUS).select(F.explode(F.array(*sides)).alias("e")).groupBy("e.bits").agg(F.min("e.least").alias("least"))
+    named = prints.join(least, "bits", "left").withColumn("family", F.least("bits", "least")).drop("bits", "least")
+    named = checkpointed(named)
+    first = named.groupBy("family").agg(F.min("print").alias("root"), F.count("*").alias("rows"), _parts().alias("parts")).where("rows > 1")
+    return named.join(first, "family").select("source", "print", "root", F.col("print").alias("class"), "parts")
+
+
+def _class_families(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(source, print, root, class, parts) of the sets of the classes in ``families`` (class, root)."""
+    sized = sets.select("print", "source", "class", "n").join(families, "class")
+    large = checkpointed(sized.groupBy("root").agg(_parts().alias("parts")).where("parts > 1"))
+    return sized.join(large, "root", "left").select("source", "print", "root", "class", F.coalesce("parts", F.lit(1)).alias("parts"))
 
 
 def similar_classes(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -302,16 +309,14 @@ def similar_classes(documents: DataFrame, width: int = 5, similarity: float = 0.
     marked = checkpointed(_marked(documents, width, similarity))
     sets = marked.groupBy("print").agg(F.min("source").alias("source"), F.min("doc_id").alias("first_id"), *[F.max(k).alias(k) for k in _BITS], F.max("n").alias("n"))
     sets = checkpointed(sets)
-    own = sets.withColumn("class", F.col("print"))
-    signed = _family_links(_signed_families(sets), own, documents, width, similarity, star=True).withColumnRenamed("a", "print")
+    signed = _family_links(_signed_families(sets), documents, width, similarity, star=True).withColumnRenamed("a", "print")
     sets = checkpointed(sets.join(signed, "print", "left").withColumn("class", F.coalesce("b", "print")).drop("b"))
     prefixes = marked.groupBy("print").agg(F.max("prefix").alias("prefix")).join(sets, "print")
     kinds = f"key long, class long, n long, {_KINDS}"
     keyed = prefixes.select("prefix", "class", "n", *_BITS).mapInArrow(tidy(_keys), kinds)
     met = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(tidy(_candidates(similarity)), "class long, other long")
     families = connected_components(met, "class", "other").withColumnRenamed("node", "class")
-    members = sets.select(F.col("print").alias("node"), "class").join(families, "class").select("node", "root")
-    links = _family_links(members, sets, documents, width, similarity)
+    links = _family_links(_class_families(families, sets), documents, width, similarity)
     roots = connected_components(links, "a", "b")
     classed = sets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("print", "first_id", F.coalesce("root", "class").alias("class_print"))
     least = classed.groupBy("class_print").agg(F.min("first_id").alias("component_id"))
